@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from shardwright.llm.chat import OP2_SQL, op2_chat_formatting
 from shardwright.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from shardwright.llm.mixing import op9_mixing
 
 QUERIES = {
+    "op2_chat_formatting": op2_chat_formatting,
+    "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
+    "op2_chat_formatting": OP2_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
