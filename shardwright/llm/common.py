@@ -34,3 +34,10 @@ def text_of(column: str = "text") -> Column:
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     """True for rows whose crc32 of the key's text leaves ``remainder``; false for a null key."""
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the rows a Python worker gets at once, so that a batch of long texts stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
