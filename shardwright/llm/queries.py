@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from shardwright.llm.chat import OP2_SQL, op2_chat_formatting
 from shardwright.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from shardwright.llm.langid import op1_language_id
 from shardwright.llm.mixing import op9_mixing
 from shardwright.llm.spotsigs import op3_spotsigs
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_spotsigs": op3_spotsigs,
     "op9_mixing": op9_mixing,
