@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardwright.workers import ship_code, small_batches
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark (the folder may be in any store)."""
@@ -36,8 +38,7 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the rows a Python worker gets at once, so that a batch of long texts stays small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def prepare_workers(spark: SparkSession) -> None:
+    """Called by every operator that runs Python on the executors."""
+    ship_code(spark)
+    small_batches(spark)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import held_out, small_batches, table, text_of
+from shardwright.llm.common import held_out, prepare_workers, table, text_of
 from shardwright.llm.textkit import code_points, mix, packs
 
 MAX_N = 4
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0, as is everything if there
     is no model. An empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    small_batches(spark)
+    prepare_workers(spark)
     learn = docs.where(~held_out(4, 2) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     found = identify(docs, fit(learn))
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")

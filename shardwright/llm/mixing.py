@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import materialize, table, text_of
+from shardwright.llm.common import materialize, prepare_workers, table, text_of
 
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -78,6 +78,7 @@ def repetitions(
     each is taken when that brings the cell nearer to its share, which leaves an error of about
     half the smallest document a cell.
     """
+    prepare_workers(sized.sparkSession)
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     totals = materialize(totals)

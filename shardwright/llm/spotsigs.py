@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import small_batches, table, text_of
+from shardwright.llm.common import prepare_workers, table, text_of
 from shardwright.llm.textkit import mix, runs, words
 
 #: The most common words of English, German, French, Spanish, Italian, Portuguese and Dutch.
@@ -153,7 +153,7 @@ def edited_table(docs: DataFrame, chain: int = 2, distance: int = 1) -> DataFram
     empty; a null doc_id is the smallest. An empty table gives an empty result; other columns
     are ignored.
     """
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
