@@ -9,6 +9,7 @@ from shardwright.llm.langid import op1_language_id
 from shardwright.llm.lsh_forest import op6_ngram_join
 from shardwright.llm.mixing import op9_mixing
 from shardwright.llm.spotsigs import op3_spotsigs
+from shardwright.llm.toxicity import op5_toxicity
 from shardwright.llm.unigram_count import op4_token_counts
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_spotsigs": op3_spotsigs,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing": op9_mixing,
