@@ -311,5 +311,22 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> Data
     return texts.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links")
 
 
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one document of each class left, all columns kept: the one with the least doc_id.
+
+    Of rows that repeat that doc_id one stays. Documents without a link stay. What is decided is
+    a set of ids; texts move once more, in the join with it.
+    """
+    classes = ngram_join(docs, threshold)
+    lost = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_lost")).distinct()
+    kept = docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti")
+    twice = classes.where("n_links > 0 AND doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    repeated = materialize(twice)
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(repeated, kept["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, kept["doc_id"] == F.col("_twice"), "left_anti").unionByName(single)
+
+
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
