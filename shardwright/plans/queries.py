@@ -405,13 +405,14 @@ _ADASYN = (
     wanted AS (SELECT partition, y, vec_id, unnest(range(CAST(floor(r / total * lack + 0.5) AS BIGINT))) AS copy FROM need WHERE total > 0),"""
     + _MADE.replace("{k}", "5")
 )
-_OUT = "SELECT partition, vec_id, y, round(x[1], 6) AS x1, round(x[4], 6) AS x4, synthetic FROM"
+_OUT = "SELECT partition, coalesce(vec_id, -1) AS vec_id, y, round(x[1], 6) AS x1, round(x[4], 6) AS x4, synthetic FROM"
 _MINORITY = "minority AS (SELECT partition, y FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY n, y) AS r FROM sizes) WHERE r = 1)"
 
 
 def _balanced(spark, sf_dir, method):
     found = StratifiedBalanced(["vec_id"], "y", 2, balance_method=method).materialize(_two_classes(spark, sf_dir))
-    return found.select("partition", "vec_id", "y", F.round(F.get("features", F.lit(0)), 6).alias("x1"), F.round(F.get("features", F.lit(3)), 6).alias("x4"), "synthetic")
+    # A synthetic row has no key; -1 stands for it here.
+    return found.select("partition", F.coalesce("vec_id", F.lit(-1).cast("long")).alias("vec_id"), "y", F.round(F.get("features", F.lit(0)), 6).alias("x1"), F.round(F.get("features", F.lit(3)), 6).alias("x4"), "synthetic")
 
 
 @query(
