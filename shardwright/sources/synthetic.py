@@ -22,7 +22,7 @@ def time_series(spark: SparkSession, series: int = 10, hours: int = 1000, seed:
     """``series_id, timestamp, value, feature_1, feature_2``: a daily wave with noise, by the hour."""
     grid = spark.range(series).withColumnRenamed("id", "series_id").withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
     wave = F.sin(F.col("_h") * F.lit(2 * 3.141592653589793 / 24)) + 0.1 * F.randn(seed)
-    stamp = F.timestampadd("HOUR", F.col("_h"), F.lit("2023-01-01").cast("timestamp_ntz"))
+    stamp = F.timestamp_add("HOUR", F.col("_h"), F.lit("2023-01-01").cast("timestamp_ntz"))
     return grid.select("series_id", stamp.alias("timestamp"), wave.alias("value"), F.randn(seed + 1).alias("feature_1"), F.rand(seed + 2).alias("feature_2"))
 
 

@@ -128,7 +128,7 @@ def test_regression_strategies(spark):
 
 @pytest.mark.parametrize("n,k", [(58, 50), (10, 3), (3, 4), (100, 7)])
 def test_temporal_sequential_is_linspace(spark, n, k):
-    data = spark.range(n).select("id", F.lit(1).alias("series_id"), F.timestampadd("HOUR", F.col("id").cast("int"), F.lit("2023-01-01").cast("timestamp_ntz")).alias("timestamp"))
+    data = spark.range(n).select("id", F.lit(1).alias("series_id"), F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2023-01-01").cast("timestamp_ntz")).alias("timestamp"))
     got = parts(TemporalSplit(["id"], n_splits=k).assign(data))
     cuts = np.linspace(0, n, k + 1).astype(int)
     expected = {f"split_{i}": list(range(a, b)) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a}
@@ -136,7 +136,7 @@ def test_temporal_sequential_is_linspace(spark, n, k):
 
 
 def test_temporal_windows_seasons_and_errors(spark):
-    data = spark.range(50).select("id", F.lit(1).alias("series_id"), F.timestampadd("HOUR", F.col("id").cast("int"), F.lit("2023-01-01").cast("timestamp_ntz")).alias("timestamp"))
+    data = spark.range(50).select("id", F.lit(1).alias("series_id"), F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2023-01-01").cast("timestamp_ntz")).alias("timestamp"))
     got = parts(TemporalSplit(["id"], n_splits=4, method="sliding_window", window_size=15).assign(data))
     assert {p: len(v) for p, v in got.items()} == {"split_0": 15, "split_1": 15, "split_2": 15}
     assert len(parts(TemporalSplit(["id"], method="seasonal").assign(data))) == 24
