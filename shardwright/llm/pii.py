@@ -5,7 +5,7 @@ pattern, a gazetteer, the words before it, and a checksum. Expectation-maximisat
 counts of vote patterns (a table of bounded size: kinds times three to the number of labelers)
 estimates each labeler's reliability and a posterior for each pattern, and a logistic span
 classifier is trained on these. Base spans are kept as they are; of the other kinds those stay
-that the classifier accepts and at least two labelers support.
+that the classifier accepts, at least two labelers support and none opposes.
 
 Offsets are code points. Splitting a text at a pattern and extracting its matches gives the gaps
 and the matches in turn; their running lengths are the offsets. All patterns run in linear time:
@@ -74,7 +74,7 @@ def luhn(digits: Column) -> Column:
     places = F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1)))
 
     def add(total: Column, i: Column) -> Column:
-        d = F.substr(F.reverse(digits), i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
+        d = F.coalesce(F.substr(F.reverse(digits), i, F.lit(1)).try_cast("int"), F.lit(0)) * F.when(i % 2 == 0, 2).otherwise(1)
         return total + F.when(d > 9, d - 9).otherwise(d)
 
     return F.aggregate(places, F.lit(0), add) % 10 == 0
@@ -225,12 +225,12 @@ def train_spans(patterns: list[tuple[str, tuple[int, ...], int]], posterior: lis
 
 def _accepted(kind: str, span: Column, weights: dict) -> Column:
     score = F.lit(float(weights.get("bias", 0.0) + weights.get(("kind", kind), 0.0)))
-    supports = F.lit(0)
+    supports, against = F.lit(0), F.lit(False)
     for j in range(len(LABELERS)):
         vote = F.get(span["votes"], F.lit(j))
         score = score + F.when(vote == 1, float(weights.get((j, 1), 0.0))).when(vote == -1, float(weights.get((j, -1), 0.0))).otherwise(0.0)
-        supports = supports + F.when(vote == 1, 1).otherwise(0)
-    return (score >= 0) & (supports >= 2)
+        supports, against = supports + F.when(vote == 1, 1).otherwise(0), against | (vote == -1)
+    return (score >= 0) & (supports >= 2) & ~against
 
 
 def _kept(kind: str, weights: dict) -> Column:
