@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import held_out, prepare_workers, table, text_of
+from shardwright.llm.common import held_out, lean, prepare_workers, table, text_of
 from shardwright.llm.textkit import code_points, mix, packs
 
 MAX_N = 4
@@ -42,10 +42,9 @@ def _letters() -> np.ndarray:
 
 def grams(joined: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature of every n-gram in a pack of texts, the part it lies in, and each part's letters."""
-    points = code_points(joined)
+    points = code_points(joined + "\n")
     letter = _letters()[points]
-    ends = np.cumsum(lengths + 1) - 1  # the line feed after each part (the last has none)
-    owner = np.searchsorted(ends, np.arange(len(points)), side="right")
+    owner = np.repeat(np.arange(len(lengths)), lengths + 1)  # a part ends with its line feed
     n_letters = np.bincount(owner[letter], minlength=len(lengths))
     keep = letter.copy()  # a blank stays where a letter comes before it
     keep[1:] |= letter[:-1]
@@ -184,7 +183,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             {"feature": pa.array(np.append(at, -1), pa.int64()), "n": pa.array(np.append(sums[at], rows), pa.int64())}
         )
 
-    counted = docs.select(text_of().alias("text")).mapInArrow(count, "feature long, n long")
+    counted = docs.select(text_of().alias("text")).mapInArrow(lean(count), "feature long, n long")
     found = np.zeros(WIDTH, np.int64)
     total = 0
     for feature, n in counted.groupBy("feature").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
@@ -227,7 +226,7 @@ def fit(learn: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 0) -> Model
                     }
                 )
 
-    taken = sample.mapInArrow(count, "doc_id long, lang string, features array<int>, counts array<int>")
+    taken = sample.mapInArrow(lean(count), "doc_id long, lang string, features array<int>, counts array<int>")
     rows = taken.toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()
     idf = np.log((1 + total) / (1 + frequencies)) + 1.0
@@ -291,7 +290,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(work), "doc_id long, lang_pred string, score double")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
