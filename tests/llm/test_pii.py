@@ -1,0 +1,101 @@
+"""Base spans against Python's own regular expressions; added spans; the label model."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from shardwright.llm.pii import find_personal_data, fit_labels, luhn, running_sums
+
+
+def luhn_ok(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def digits_of(v):
+    return re.sub("[^0-9]", "", v)
+
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda v: 16 <= len(digits_of(v)) <= 19 and luhn_ok(digits_of(v))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 8 <= len(digits_of(v)) <= 15),
+]
+
+TEXTS = [
+    "a@b.c_d@e.f x@y @a.b a@-.b.c.d@e.g",
+    "1.2.3.4.5.6.7.8 1.2.3.400 0255.1.1.1 12.1.1 00000000000000000001.2.3.4",
+    "4111 1111 1111 1111 4111-1111-1111-1111x41111111111111111",
+    "+1 (017) 555-7713 +1---- +12 +49 30 1234567+1 555 123 4567",
+    "é🙂 4111111111111111 a.b@c.de 日本 +33 1 23 45 67 89",
+    "a" * 4000 + "@b.c " + "." * 4000 + "1" * 2500 + ".1.1.1",
+    " ".join(f"u{i}@h{i}.org" for i in range(600)),
+    "1 2 3 4 5 6 7 8 9 0 " * 50,
+    None,
+    "",
+]
+
+
+def check(df):
+    got = {r["doc_id"]: r for r in find_personal_data(df).collect()}
+    for r in df.collect():
+        text = r["text"] or ""
+        spans = [(k, m.start(), m.end()) for k, p, ok in BASE for m in re.finditer(p, text) if ok(m.group())]
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        own = got[r["doc_id"]]
+        assert own["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert [own[f"n_{k}"] for k, *_ in BASE] == [sum(s[0] == k for s in spans) for k, *_ in BASE]
+        assert own["spans"].startswith(listed)
+    return got
+
+
+def test_base_spans(spark):
+    check(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+
+
+def test_base_spans_of_random_texts(spark):
+    rng = random.Random(0)
+    texts = ["".join(rng.choice("ab1234567890..@@-+ ()_%é🙂") for _ in range(rng.randint(0, 100))) for _ in range(800)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_added_spans_need_support(spark):
+    text = "SSN: 123-45-6789, IBAN DE89 3704 0044 0532 0130 00, tel (212) 555-1234, contact Mr. John Smith"
+    rows = [(1, text), (2, "part 123-45-6789 and 212 555 1234 and John Wayne Street and DE00 0000 0000 0000 0000 00")]
+    got = {r["doc_id"]: r["spans"] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "ssn:5:16,iban:23:50,local_phone:56:70,person:80:94"
+    assert got[2] == ""
+
+
+def test_awkward_rows(awkward, nothing):
+    got = find_personal_data(awkward)
+    assert got.count() == awkward.count() and got.where("spans != ''").count() == 0
+    assert find_personal_data(nothing).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_sums(spark, n):
+    got = spark.range(1).select(running_sums(F.transform(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"), lambda x: x.cast("long")))).first()[0]
+    assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
+def test_luhn(spark):
+    values = ["4111111111111111", "4111111111111112", "0", "79927398713", ""]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(luhn(F.col("v"))).collect()
+    assert [r[0] for r in got] == [True, False, True, True, True]
+
+
+def test_label_model_finds_the_reliable_labelers():
+    patterns = [("k", (1, 1, 0, 1), 400), ("k", (1, -1, 0, -1), 500), ("k", (1, 1, 1, 1), 100), ("k", (1, -1, 1, -1), 100)]
+    posterior, rates = fit_labels(patterns)
+    assert posterior[0] > 0.9 and posterior[1] < 0.1
+    assert rates[1, 3, 1] > 0.9 > rates[0, 3, 1]
