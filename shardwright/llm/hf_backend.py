@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from shardwright.llm.common import prepare_workers, table, text_of
+from shardwright.llm.common import lean, prepare_workers, table, text_of
 from shardwright.llm.spm_model import BLANK, BPE, CONTROL, BYTE, NORMAL, UNKNOWN, SpmModel, load, parse
 
 #: Where the public vocabulary files lie; a parameter of every operator that uses one.
@@ -269,7 +269,7 @@ def encode_documents(docs: DataFrame, model: bytes, threads: int = 2, verify: bo
                 )
         ours.forget()  # a worker lives on after its task
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(work), schema)
 
 
 def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -283,7 +283,7 @@ def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
             back = ours.decode_batch([x or [] for x in batch.column(1).to_pylist()], skip_special_tokens=False)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "text": pa.array(back, pa.string())})
 
-    return encoded.select("doc_id", F.col("ids").alias("ids")).mapInArrow(work, "doc_id long, text string")
+    return encoded.select("doc_id", F.col("ids").alias("ids")).mapInArrow(lean(work), "doc_id long, text string")
 
 
 def op7_sentencepiece(spark, sf_dir: str, model_path: str = DEFAULT_MODEL) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import materialize, prepare_workers, table, text_of
+from shardwright.llm.common import lean, materialize, prepare_workers, table, text_of
 from shardwright.llm.components import connected_components
 from shardwright.llm.textkit import BATCH_CHARS, runs, words
 
@@ -105,7 +105,7 @@ def signatures(nodes: DataFrame) -> DataFrame:
                 columns |= {f"k{i}": pa.ListArray.from_arrays(ends, pa.array(k.ravel())) for i, k in enumerate(lists)}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    found = nodes.select("node", "text").mapInArrow(work, f"node binary, sketch binary, {fields}")
+    found = nodes.select("node", "text").mapInArrow(lean(work), f"node binary, sketch binary, {fields}")
     kept = [F.first(c).alias(c) for c in found.columns[1:]]
     return found.groupBy("node").agg(*kept)
 
@@ -149,7 +149,7 @@ def bucket_links(buckets: DataFrame, at_least: float) -> DataFrame:
                         vs.append(nodes[a + root[x]])
             yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
 
-    return buckets.select("members").mapInArrow(work, "u binary, v binary")
+    return buckets.select("members").mapInArrow(lean(work), "u binary, v binary")
 
 
 def candidate_links(sigs: DataFrame, threshold: float, crowd: int) -> DataFrame:
@@ -259,7 +259,7 @@ def verified(cells: DataFrame, threshold: float) -> DataFrame:
 
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.select("component", "i", "j", "block", "node", "weight", "text").repartition(parts, "component", "i", "j")
-    return dealt.sortWithinPartitions("component", "i", "j").mapInArrow(work, "node binary, v binary, links long")
+    return dealt.sortWithinPartitions("component", "i", "j").mapInArrow(lean(work), "node binary, v binary, links long")
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:

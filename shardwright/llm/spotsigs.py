@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import prepare_workers, table, text_of
+from shardwright.llm.common import lean, prepare_workers, table, text_of
 from shardwright.llm.textkit import mix, runs, words
 
 #: The most common words of English, German, French, Spanish, Italian, Portuguese and Dutch.
@@ -182,7 +182,7 @@ def edited_table(docs: DataFrame, chain: int = 2, distance: int = 1) -> DataFram
                 }
             )
 
-    return in_order(docs).mapInArrow(work, schema)
+    return in_order(docs).mapInArrow(lean(work), schema)
 
 
 def near_pairs(signatures: DataFrame, at_least: float = 0.8) -> DataFrame:

@@ -13,9 +13,9 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters that are hashed in one go; this bounds the working memory, not the texts.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Text after which a batch of documents is worked off.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

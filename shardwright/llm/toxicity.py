@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import held_out, materialize, prepare_workers, table, text_of
+from shardwright.llm.common import held_out, lean, materialize, prepare_workers, table, text_of
 from shardwright.llm.textkit import packed_words, runs, span_hashes, words
 
 #: Insults by language; a hit is a vote for toxic and a feature of the classifier.
@@ -116,7 +116,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_sample: int, seed: i
                 ["doc_id", "text", "toxic", "least"],
             )
 
-    marked = materialize(rows.mapInArrow(work, "doc_id long, text string, toxic double, least long"))
+    marked = materialize(rows.mapInArrow(lean(work), "doc_id long, text string, toxic double, least long"))
     return marked.join(marked.groupBy("least").agg(F.min("doc_id").alias("doc_id")), ["least", "doc_id"]).select("doc_id", "text", "toxic").coalesce(8)
 
 
@@ -129,7 +129,7 @@ def mine_parts(sample: DataFrame, max_parts: int) -> np.ndarray:
                 own = np.unique(np.concatenate([h for h, _ in features([text])] or [np.zeros(0, np.uint64)]))
                 yield pa.RecordBatch.from_pydict({"h": pa.array([own.view(np.int64)], pa.list_(pa.int64()))})
 
-    toxic = sample.where("toxic >= 0.5").select("text").mapInArrow(of_toxic, "h array<long>").toArrow()
+    toxic = sample.where("toxic >= 0.5").select("text").mapInArrow(lean(of_toxic), "h array<long>").toArrow()
     n_toxic, n_other = toxic.num_rows, sample.where("toxic < 0.5").count()
     if not n_toxic or not n_other:
         return np.zeros(0, np.uint64)
@@ -144,7 +144,7 @@ def mine_parts(sample: DataFrame, max_parts: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
 
     others = np.zeros(len(parts), np.int64)
-    for row in sample.where("toxic < 0.5").select("text").mapInArrow(of_others, "sums binary").collect():
+    for row in sample.where("toxic < 0.5").select("text").mapInArrow(lean(of_others), "sums binary").collect():
         others += np.frombuffer(row["sums"], np.int32)
     g2 = _likelihood_ratio(hits, others, n_toxic, n_other)
     best = np.argsort(-g2, kind="stable")[:max_parts]
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, max_pa
             )
 
     schema = "doc_id long, toxic double, hits array<int>, values array<double>, marks array<boolean>"
-    rows = sample.mapInArrow(look, schema).toArrow().sort_by("doc_id")
+    rows = sample.mapInArrow(lean(look), schema).toArrow().sort_by("doc_id")
     n = rows.num_rows
     if not n:
         return Model(hashes, towards, -2.0)
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 {"doc_id": batch.column(0).cast(pa.int64()), "score": pa.array(p, pa.float64()), "predicted": pa.array((p >= 0.5).astype(np.int32))}
             )
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(work), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -305,7 +305,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             sums = np.bincount(own, known.weights[feature] * value, minlength=batch.num_rows) + known.bias
             yield batch.filter(pa.array(sums < 0))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shardwright.llm.common import prepare_workers, table, text_of
+from shardwright.llm.common import lean, prepare_workers, table, text_of
 from shardwright.llm.hf_backend import DEFAULT_MODEL, normalizer
 from shardwright.llm.spm_model import BLANK, NORMAL, UNKNOWN_PENALTY, SpmModel, load, parse
 
@@ -186,7 +186,7 @@ def count_tokens(docs: DataFrame, model: bytes) -> DataFrame:
             )
 
     schema = "doc_id long, n_chars long, n_tokens long, score double"
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, schema)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(work), schema)
 
 
 def op4_token_counts(spark, sf_dir: str, model_path: str = DEFAULT_MODEL) -> DataFrame:
