@@ -52,9 +52,14 @@ def _estimators(task: str) -> dict[str, Callable]:
 
 
 class Experiment:
-    """The whole loop over the datasets of a configuration."""
+    """The whole loop over the datasets of a configuration.
 
-    def __init__(self, spark: SparkSession, catalogue: Catalogue, config: ExperimentConfig, out_dir: str | None = None, tracker: ExperimentTracker | None = None) -> None:
+    With ``baseline`` one model is also trained on all training rows, and its metrics are
+    reported beside those of the ensemble.
+    """
+
+    def __init__(self, spark: SparkSession, catalogue: Catalogue, config: ExperimentConfig, out_dir: str | None = None, tracker: ExperimentTracker | None = None, baseline: bool = False) -> None:
+        self.baseline = baseline
         self.spark, self.catalogue, self.config, self.out_dir = spark, catalogue, config, out_dir
         self.tracker = tracker or ExperimentTracker()
 
@@ -80,7 +85,11 @@ class Experiment:
         test = parts.where("partition = 'test'").drop("partition")
         strategy = self.config.sampling_strategies[0]
         chosen = SamplingStrategyFactory().fit_transform(strategy.name, train, self._options(strategy, key, dataset.target))
-        return self._ensemble(dataset.task, dataset.target, key, chosen, test)
+        found = self._ensemble(dataset.task, dataset.target, key, chosen, test)
+        if self.baseline:
+            whole = self._ensemble(dataset.task, dataset.target, key, train.withColumn("partition", F.lit("all")), test)
+            found |= {f"baseline_{k}": v for k, v in whole.items()}
+        return found
 
     @staticmethod
     def _options(strategy: Spec, key: str, target: str) -> dict:

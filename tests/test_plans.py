@@ -75,8 +75,9 @@ def test_experiment(spark, tmp_path):
     catalogue = Catalogue([Dataset("toy", "y", load=lambda s: synthetic.tabular(s, 300, 4))])
     config = ExperimentConfigBuilder().from_text("datasets: toy(key=id)\nsampling_strategies: random(n_partitions=2)\nautoml_models: logistic_regression")
     tracker = ExperimentTracker()
-    found = Experiment(spark, catalogue, config, str(tmp_path), tracker).run_full_benchmark()
+    found = Experiment(spark, catalogue, config, str(tmp_path), tracker, baseline=True).run_full_benchmark()
     assert found["toy"]["accuracy"] > 0.8 and found["toy"]["n_models"] == 2 and found["toy"]["training_time"] > 0
+    assert found["toy"]["baseline_accuracy"] > 0.8 and found["toy"]["baseline_n_models"] == 1
     assert tracker.runs[0]["metrics"]["accuracy"] == found["toy"]["accuracy"]
     assert LogisticRegression is not None
 
