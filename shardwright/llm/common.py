@@ -49,6 +49,14 @@ def prepare_workers(spark: SparkSession) -> None:
     small_batches(spark)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(work: Callable) -> Callable:
     """A worker's function that gives its freed memory back to the system when a task ends.
 
@@ -59,9 +67,6 @@ def lean(work: Callable) -> Callable:
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-                ctypes.CDLL(None).malloc_trim(0)
+            release_memory()
 
     return run

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import held_out, lean, materialize, prepare_workers, table, text_of
+from shardwright.llm.common import held_out, lean, materialize, prepare_workers, release_memory, table, text_of
 from shardwright.llm.textkit import packed_words, runs, span_hashes, words
 
 #: Insults by language; a hit is a vote for toxic and a feature of the classifier.
@@ -200,11 +200,24 @@ def _cover(hits: np.ndarray, toxic: np.ndarray, most: int) -> list[int]:
     return chosen
 
 
+def _largest_square(x: np.ndarray, rounds: int = 30) -> float:
+    """The square of the largest singular value, a little over, by power iteration."""
+    v = np.ones(x.shape[1], np.float32)
+    square = 0.0
+    for _ in range(rounds):
+        v = x.T @ (x @ v)
+        square = float(np.linalg.norm(v))
+        if not square:
+            return 0.0
+        v /= square
+    return 1.1 * square
+
+
 def train_linear(hits: np.ndarray, target: np.ndarray, towards: np.ndarray, penalty: float = 0.1, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, drawn to ``towards`` by a squared penalty."""
-    x, n = hits.astype(np.float32), len(target)
+    x, n = hits.astype(np.float32, copy=False), len(target)
     w, bias = towards.astype(np.float64).copy(), float(np.log((target.mean() + 1e-3) / (1.001 - target.mean())))
-    step = 4.0 / (1.0 + float(np.linalg.norm(x, 2)) ** 2 / max(n, 1) + 4 * penalty / max(n, 1))
+    step = 4.0 / (1.0 + _largest_square(x) / max(n, 1) + 4 * penalty / max(n, 1))
     ahead, ahead_bias, t = w.copy(), bias, 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32) + ahead_bias, -30, 30)))
@@ -259,13 +272,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, max_pa
     for i, (own, values) in enumerate(zip(rows["hits"].to_pylist(), rows["values"].to_pylist(), strict=True)):
         hits[i, own] = values
     human = rows["toxic"].to_numpy()
-    seen = (hits > 0).astype(np.float32)
+    seen = hits > 0
     voters = [seen[:, np.flatnonzero(np.isin(hashes, h))].max(axis=1) for h in lexicon.values()]
     voters += list(np.array(rows["marks"].to_pylist(), np.float32).T)
     voters += [seen[:, len(fixed) + j] for j in _cover(seen[:, len(fixed) :], human >= 0.5, MAX_VOTERS)]
-    votes = np.stack([*voters, (human >= 0.5).astype(np.float32)], axis=1)
+    votes = np.stack([*voters, human >= 0.5], axis=1).astype(np.float64)
     posterior, _ = label_model(votes, human)
-    return Model(hashes, *train_linear(hits, posterior, towards))
+    model = Model(hashes, *train_linear(hits, posterior, towards))
+    del rows, hits, seen, votes, voters
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

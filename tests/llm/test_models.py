@@ -95,3 +95,19 @@ def test_label_model_weighs_voters():
     assert ((posterior > 0.5) == truth).mean() > 0.93
     assert found["dependence"][3, 4] > 0.8 and found["dependence"][0, 1] < 0.3
     assert found["rates"][1, 0] > found["rates"][1, 1] > found["rates"][1, 3]
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    """At sf0.01 the language of documents that took no part in the learning is found for nearly all."""
+    from pathlib import Path
+
+    import pytest
+
+    from shardwright.llm.langid import op1_language_id
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    unseen = op1_language_id(spark, folder).where("held_out").join(docs, "doc_id").toPandas()
+    assert (unseen["lang_pred"] == unseen["lang"]).mean() > 0.97
