@@ -52,7 +52,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     state = seen = (current.count(), None)
     for _ in range(max_rounds if state[0] else 0):
         wide = materialize(_large_star(current, state[0]))
-        current = materialize(_small_star(wide, wide.count()))
+        current = materialize(_small_star(wide, state[0]))  # edges grow no more
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

@@ -291,7 +291,10 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> Data
     sigs = materialize(signatures(texts))
     loose = connected_components(candidate_links(sigs, threshold, crowd))
     loose = materialize(loose)
-    sizes = loose.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Ten blocks from some size on, so that its cells spread; more only where they would grow too large.
+    members = F.count("*")
+    blocks = F.greatest(F.ceil(members / BLOCK), F.least(F.lit(10), F.ceil(members / (BLOCK / 5))))
+    sizes = loose.groupBy("component").agg(blocks.cast("int").alias("blocks"))
     placed = loose.join(sizes, "component").join(nodes.select("node", F.col("copies").alias("weight")), "node")
     placed = placed.withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     distinct_texts = texts.groupBy("node").agg(F.first("text").alias("text"))
