@@ -38,6 +38,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Rows of small columns that one task may well hold.
+ROWS_A_TASK = 50_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as few partitions as ``rows`` rows at most need, so that small tables cost few tasks and files."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     """True for rows whose crc32 of the key's text leaves ``remainder``; false for a null key."""
     return F.coalesce(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import materialize
+from shardwright.llm.common import materialize, packed
 
 
 #: A node with more than this share of the edges is joined by broadcast; there are at most 1 / share of them.
@@ -50,9 +50,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     current = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     current = materialize(current.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct())
     state = seen = (current.count(), None)
+    current = packed(current, state[0])
     for _ in range(max_rounds if state[0] else 0):
-        wide = materialize(_large_star(current, state[0]))
-        current = materialize(_small_star(wide, state[0]))  # edges grow no more
+        # Edges grow no more in number.
+        wide = materialize(packed(_large_star(current, state[0]), state[0]))
+        current = materialize(packed(_small_star(wide, state[0]), state[0]))
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

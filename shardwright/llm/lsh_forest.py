@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import lean, materialize, prepare_workers, table, text_of
-from shardwright.llm.components import connected_components
+from shardwright.llm.common import lean, materialize, packed, prepare_workers, table, text_of
+from shardwright.llm.components import HOT_SHARE, connected_components
 from shardwright.llm.textkit import BATCH_CHARS, runs, words
 
 SHINGLE = 5
@@ -152,6 +152,20 @@ def bucket_links(buckets: DataFrame, at_least: float) -> DataFrame:
     return buckets.select("members").mapInArrow(lean(work), "u binary, v binary")
 
 
+def _with_counts(rows: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """Rows that share their key with others, with ``n``, how many do; and the number of these rows.
+
+    Keys with more than a thousandth of these rows, of which there are at most a thousand, are
+    broadcast; the others are joined by shuffle.
+    """
+    counts = materialize(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") >= max(2.0, HOT_SHARE * total))
+    near = rows.join(F.broadcast(hot), by)
+    far = rows.join(F.broadcast(hot.drop("n")), by, "left_anti").join(counts, by)
+    return near.unionByName(far), total
+
+
 def candidate_links(sigs: DataFrame, threshold: float, crowd: int) -> DataFrame:
     """Links whose components hold the candidate pairs: ``u, v``."""
     keys = [f"k{i}" for i in range(len(DEPTHS))]
@@ -159,15 +173,17 @@ def candidate_links(sigs: DataFrame, threshold: float, crowd: int) -> DataFrame:
     small, links = [], None
     for depth in range(len(keys)):
         by = keys[: depth + 1]
-        counts = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
-        met = rows.join(counts, by)
+        met, total = _with_counts(rows, by)
         small.append(met.where(F.col("n") <= crowd).select("node", F.xxhash64(*by).alias("bucket")))
         crowded = met.where(F.col("n") > crowd)
         if depth + 1 < len(keys):
-            rows = materialize(crowded.drop("n"))
+            rows = materialize(packed(crowded.drop("n"), total))
         else:
-            leaders = crowded.groupBy(*by).agg(F.min("node").alias("v"))
-            links = crowded.join(leaders, by).where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct()
+            leaders = crowded.groupBy(*by).agg(F.min("node").alias("v"), F.count("*").alias("n"))
+            hot = F.broadcast(leaders.where(F.col("n") >= max(2.0, HOT_SHARE * total)).drop("n"))
+            crowded = crowded.drop("n")
+            cold = crowded.join(hot.drop("v"), by, "left_anti").join(leaders.drop("n"), by)
+            links = crowded.join(hot, by).unionByName(cold).where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct()
     buckets = small[0]
     for more in small[1:]:
         buckets = buckets.unionByName(more)
