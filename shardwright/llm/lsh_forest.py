@@ -3,7 +3,8 @@
 1. Equal texts form one node. Each node has ``TREES`` tries of MinHash values over its word
    five-grams. A node of a trie with at most ``crowd`` texts is taken at the shortest prefix;
    crowded ones are matched at longer and longer prefixes, so a passage or line that a large
-   part of the corpus shares costs no more than its rows.
+   part of the corpus shares costs no more than its rows. Before that, every member of a crowd
+   is compared with four of it by sketch and linked to those it is alike to.
 2. Texts that meet in a trie are compared by a sketch of one byte per MinHash value; those
    that may reach the threshold are linked, a few links per bucket, never all its pairs. Texts
    still crowded at the longest prefix are nearly equal and are linked to one of them.
@@ -11,8 +12,11 @@
    verified on their whole shingle sets, in blocks of bounded size, so pairs that no trie
    brought together are found as well. Links are counted, not listed.
 
-A pair at similarity 0.8 misses all 12 tries at prefix 3 with probability 0.0002, at prefix 4
-with 0.002; components close most of what is left.
+A pair at similarity 0.8 misses all 12 tries at prefix 3 with probability 0.0002; components
+close most of what is left. That holds in crowds of one group of near copies too, where every
+leader is of the group. In a crowd of many groups (a shared passage) a group with a share p of
+it leads with 1 - (1 - p)^4; a text none of whose crowds its group leads has to agree at the
+longer prefixes, and misses all tries with at most (1 - 0.8^8)^12 = 0.11 at similarity 0.8.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ SLACK = 0.2
 BLOCK = 1000
 #: Components up to this size are compared pair by pair.
 FEW = 12
+#: Members of a crowded bucket that all its members are compared with.
+LEADERS = 4
 
 
 @lru_cache(1)
@@ -166,11 +172,52 @@ def _with_counts(rows: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
     return near.unionByName(far), total
 
 
+def _leader_links(rows: DataFrame, by: list[str], sketches: DataFrame, at_least: float, total: int) -> DataFrame:
+    """Links ``u, v`` of the members of each bucket (``rows``: node and key) to its leaders that they are alike to by sketch.
+
+    Up to ``LEADERS`` members lead a bucket, drawn by a hash of node and key, so that tries have
+    leaders of their own.
+    """
+    order = F.xxhash64("node", *by)
+    drawn = [F.expr(f"min_by(node, _order) FILTER (WHERE pmod(_order, {LEADERS}) = {i})") for i in range(LEADERS)]
+    leaders = rows.withColumn("_order", order).groupBy(*by).agg(F.count("*").alias("n"), F.array_compact(F.array(*drawn)).alias("nodes"))
+    leaders = leaders.select(*by, "n", F.explode("nodes").alias("node")).join(sketches, "node")
+    leaders = leaders.groupBy(*by, "n").agg(F.collect_list(F.struct("node", "sketch")).alias("leaders"))
+    leaders = materialize(packed(leaders, total))
+    hot = F.broadcast(leaders.where(F.col("n") >= max(2.0, HOT_SHARE * total)))
+    members = rows.join(sketches, "node")
+    near = members.join(hot, by)
+    far = members.join(hot.drop("n", "leaders"), by, "left_anti").join(leaders, by)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            lists = batch.column(2)
+            flat = lists.flatten()
+            heads = flat.field("node").to_pylist()
+            row = np.repeat(np.arange(len(nodes)), np.diff(lists.offsets.to_numpy()))
+            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)
+            theirs = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
+            near = np.count_nonzero(own[row] == theirs, axis=1) >= at_least * VALUES
+            found, last, first = set(), -1, None
+            for r, i in zip(row[near].tolist(), np.flatnonzero(near).tolist(), strict=True):
+                if heads[i] == nodes[r]:
+                    continue
+                # Further leaders are tied to the first, which members of a group repeat.
+                found.add((nodes[r] if r != last else first, heads[i]))
+                last, first = r, heads[i] if r != last else first
+            us, vs = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+
+    return near.unionByName(far).select("node", "sketch", "leaders").mapInArrow(lean(work), "u binary, v binary")
+
+
 def candidate_links(sigs: DataFrame, threshold: float, crowd: int) -> DataFrame:
     """Links whose components hold the candidate pairs: ``u, v``."""
     keys = [f"k{i}" for i in range(len(DEPTHS))]
     rows = sigs.select("node", F.inline(F.arrays_zip(*keys)))
-    small, links = [], None
+    sketches = sigs.select("node", "sketch")
+    small, links = [], []
     for depth in range(len(keys)):
         by = keys[: depth + 1]
         met, total = _with_counts(rows, by)
@@ -178,18 +225,23 @@ def candidate_links(sigs: DataFrame, threshold: float, crowd: int) -> DataFrame:
         crowded = met.where(F.col("n") > crowd)
         if depth + 1 < len(keys):
             rows = materialize(packed(crowded.drop("n"), total))
+            # A member may be alone at the next prefix, so it is tied to the crowd's leaders before it leaves.
+            links.append(_leader_links(rows, by, sketches, threshold - SLACK, total))
         else:
             leaders = crowded.groupBy(*by).agg(F.min("node").alias("v"), F.count("*").alias("n"))
             hot = F.broadcast(leaders.where(F.col("n") >= max(2.0, HOT_SHARE * total)).drop("n"))
             crowded = crowded.drop("n")
             cold = crowded.join(hot.drop("v"), by, "left_anti").join(leaders.drop("n"), by)
-            links = crowded.join(hot, by).unionByName(cold).where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct()
+            links.append(crowded.join(hot, by).unionByName(cold).where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v"))
     buckets = small[0]
     for more in small[1:]:
         buckets = buckets.unionByName(more)
-    members = buckets.join(sigs.select("node", "sketch"), "node")
+    members = buckets.join(sketches, "node")
     members = members.groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-    return bucket_links(members, threshold - SLACK).unionByName(links).distinct()
+    found = bucket_links(members, threshold - SLACK)
+    for more in links:
+        found = found.unionByName(more)
+    return found.distinct()
 
 
 def _verify(sets: list[np.ndarray], left: int, within: bool, threshold: float) -> np.ndarray:

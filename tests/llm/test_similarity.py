@@ -65,6 +65,29 @@ def test_join_in_several_blocks(spark, monkeypatch):
     assert sorted(got, key=str) == brute_join(rows)
 
 
+def crowds_with_outliers(seed, bases=4, copies=68, outliers=9, words=150):
+    """Groups whose texts differ in their last word, and texts 0.80 alike to those of one group, each edited in places of its own."""
+    rng = random.Random(seed)
+    texts = []
+    for b in range(bases):
+        base = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(words)]
+        texts += [" ".join([*base, f"copy{i}"]) for i in range(copies)]
+        places = rng.sample(range(5, words - 5, 5), 3 * outliers)
+        for i in range(outliers):
+            own = list(base)
+            for place in places[3 * i : 3 * i + 3]:
+                own[place] = f"odd{b}x{place}"
+            texts.append(" ".join([*own, f"outlier{i}"]))
+    return texts
+
+
+def test_join_keeps_the_outliers_of_a_crowd(spark):
+    rows = list(enumerate(crowds_with_outliers(seed=1)))
+    got = [tuple(r) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute_join(rows)
+    assert len({c for _, c, _ in got}) == 4
+
+
 def test_join_of_awkward_rows(spark, awkward, nothing):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     got = [tuple(r) for r in ngram_join(awkward).collect()]
