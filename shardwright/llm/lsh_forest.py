@@ -342,19 +342,11 @@ def node_key(text) -> F.Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links``.
+def _linked_nodes(texts: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """``node, copies, least, links, component`` of each distinct text of ``texts`` (``doc_id, text, node``).
 
-    Documents are linked when their sets of five-word runs (words as in ``textkit``; a text of
-    one to four words is one run) have a Jaccard similarity of at least ``threshold``, or when
-    their texts are equal. ``class_id`` is the least doc_id of all documents joined by links,
-    ``n_links`` the number of other documents linked to this one, copies included. A null text
-    is empty; texts without a word are linked to equal texts only. A null doc_id is never the
-    least unless all are null. Rows that repeat a doc_id count as documents of their own. An
-    empty table gives an empty result; other columns are ignored.
+    ``least`` is the least doc_id of its rows; ``links`` is null without a link to another text.
     """
-    prepare_workers(docs.sparkSession)
-    texts = docs.select("doc_id", text_of().alias("text")).withColumn("node", node_key(F.col("text")))
     nodes = materialize(texts.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
     sigs = materialize(signatures(texts))
     loose = connected_components(candidate_links(sigs, threshold, crowd))
@@ -372,7 +364,27 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> Data
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("node").alias("u"), "v").where("u != v"))
     known = nodes.join(links, "node", "left").join(classes, "node", "left")
-    known = known.withColumn("component", F.coalesce("component", "node"))
+    return known.withColumn("component", F.coalesce("component", "node"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_of().alias("text")).withColumn("node", node_key(F.col("text")))
+
+
+def ngram_join(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> DataFrame:
+    """One row per document: ``doc_id, class_id, n_links``.
+
+    Documents are linked when their sets of five-word runs (words as in ``textkit``; a text of
+    one to four words is one run) have a Jaccard similarity of at least ``threshold``, or when
+    their texts are equal. ``class_id`` is the least doc_id of all documents joined by links,
+    ``n_links`` the number of other documents linked to this one, copies included. A null text
+    is empty; texts without a word are linked to equal texts only. A null doc_id is never the
+    least unless all are null. Rows that repeat a doc_id count as documents of their own. An
+    empty table gives an empty result; other columns are ignored.
+    """
+    prepare_workers(docs.sparkSession)
+    texts = _texts(docs)
+    known = _linked_nodes(texts, threshold, crowd)
     least = known.where("links IS NOT NULL").groupBy("component").agg(F.min("least").alias("class_least"))
     known = known.join(least, "component", "left").select(
         "node",
@@ -382,21 +394,28 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> Data
     return texts.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links")
 
 
-def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> DataFrame:
     """The rows of ``docs`` with one document of each class left, all columns kept: the one with the least doc_id.
 
-    Of rows that repeat that doc_id one stays. Documents without a link stay. What is decided is
-    a set of ids; texts move once more, in the join with it.
+    A null doc_id comes last; of different texts under that doc_id the one with the least node
+    stays, and of rows that repeat both one. Documents without a link stay. What is decided is a
+    set of doc_ids and nodes; texts move once more, in the join with it.
     """
-    classes = ngram_join(docs, threshold)
-    lost = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")), "left_anti")
-    twice = classes.where("n_links > 0 AND doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    repeated = materialize(twice)
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, kept["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, kept["doc_id"] == F.col("_twice"), "left_anti").unionByName(single)
+    prepare_workers(docs.sparkSession)
+    texts = _texts(docs)
+    known = _linked_nodes(texts, threshold, crowd)
+    first = known.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first"))
+    first = first.select(F.col("first.least").alias("_first_id"), F.col("first.node").alias("_first_node"), F.lit(True).alias("_stays"))
+    rows = texts.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_row_node")).agg(F.count("*").alias("_n"))
+    rows = rows.join(first, F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_row_node") == F.col("_first_node")), "left")
+    rows = materialize(rows.where("_stays IS NULL OR _n > 1").select("_id", "_row_node", "_stays"))
+    lost, repeated = rows.where("_stays IS NULL"), rows.where("_stays")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_row_node"))
+    kept = docs.withColumn("_node", node_key(text_of())).join(lost, same, "left_anti")
+    if not repeated.isEmpty():
+        single = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_node"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(single)
+    return kept.select(*docs.columns)
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -99,6 +99,17 @@ def test_join_of_awkward_rows(spark, awkward, nothing):
     assert kept.where("doc_id = 9").count() == 1
 
 
+def test_one_of_each_class_decides_by_row(spark):
+    a, b, c, d = ([" ".join([f"{name}{i}" for i in range(60)] + [f"end{j}"]) for j in range(3)] for name in "abcd")
+    rows = [(1, a[0]), (None, a[1]), (None, "first of no id"), (None, "second of no id"), (7, a[2]), (7, "unlike the other text of seven")]
+    rows += [(8, b[0]), (8, c[0]), (8, b[0]), (9, b[1]), (10, c[1]), (None, d[0]), (None, d[1])]
+    kept = [tuple(r) for r in one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    of_none = [r for r in kept if r[1] in d]
+    assert len(of_none) == 1
+    assert sorted(set(kept) - set(of_none), key=str) == sorted([(1, a[0]), *rows[2:4], rows[5], *rows[6:8]], key=str)
+    assert len(kept) == 7
+
+
 def test_verify_paths_agree():
     sets = shingle_sets(near_copies(seed=5))
     whole = {tuple(p) for p in _verify(sets, 0, True, 0.8).tolist()}
