@@ -42,8 +42,8 @@ def water_fill(totals: DataFrame, weights: tuple[float, ...], share: float, max_
     open_weight = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     levels = caps.withColumn("level", left / open_weight)
     # The first source whose ratio reaches its level sets the level of all that follow.
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))
-    level = F.min(fits).over(everything)
+    levels = levels.withColumn("place", F.row_number().over(by_ratio))
+    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))).over(everything)
     target = F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level["level"] * F.col("weight")))
     return levels.select("source", "source_size", target.alias("target"))
 

@@ -86,3 +86,11 @@ def test_water_fill_plan(spark):
         totals = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
         got = {r["source"]: r["target"] for r in plan(totals, (3, 1, 2), 1.5, 2.0).collect()}
         assert got == pytest.approx(water_fill(sizes))
+
+
+def test_water_fill_of_tied_sources(spark):
+    from shardwright.llm.mixing import water_fill as plan
+
+    totals = spark.createDataFrame([("a", 300), ("b", 100), ("c", 200), ("d", 300)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in plan(totals, (3, 1, 2), 1.5, 2.0).collect()}
+    assert got == pytest.approx({"a": 450, "b": 150, "c": 300, "d": 450})
