@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,19 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a new one on this machine, which only a local session may use."""
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir")
+    if not configured and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured or tempfile.mkdtemp(prefix="shardwright-")
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (as in
-    tests) a folder is set here.
-    """
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="shardwright-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``docs`` bears, whatever its case."""
+    tag = uuid.uuid4().hex[:8] if any(c.lower() in map(str.lower, names) for c in docs.columns) else ""
+    return [f"{n}_{tag}" if tag else n for n in names]
+
+
+def all_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` by name, whatever characters a name holds."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import materialize, table, text_of
+from shardwright.llm.common import all_columns, fresh, materialize, table, text_of
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,8 +77,11 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, heavy_share: float = 0.001) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns and whole texts.
 
-    Which rows stay is settled on digests alone; the texts then move at most once, in the
-    join with the winners. Rows that repeat id and text are reduced to one of them.
+    Which rows stay is settled on digests alone. Copies in the heavy groups go where they lie,
+    by the broadcast winners; the other texts then move once, in the join with the rows that
+    stay. Rows that repeat id and text are reduced to one of them. A null text equals the empty
+    one, a null id sorts below all others, an empty table stays empty, and other columns may
+    have any name.
     """
     rows = digests(docs)
     total = rows.count()
@@ -92,14 +95,16 @@ def drop_exact_copies(docs: DataFrame, heavy_share: float = 0.001) -> DataFrame:
     kept = hot.select("digest", F.col("winner.id").alias("kept_id")).unionByName(
         cold.select("digest", F.col("winner.id").alias("kept_id"))
     )
-    marked = docs.withColumn("_digest", F.sha2(text_of().cast("binary"), 256))
-    found = marked.join(
-        kept.withColumnRenamed("digest", "_kept_digest"),
-        (F.col("_digest") == F.col("_kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id")),
-    )
+    digest, kept_digest, kept_id = fresh(docs, "_digest", "_kept_digest", "_kept_id")
+    kept = kept.select(F.col("digest").alias(kept_digest), F.col("kept_id").alias(kept_id))
+    winners = heavy.select(F.col("digest").alias(kept_digest), F.col("winner.id").alias(kept_id))
+    marked = docs.withColumn(digest, F.sha2(text_of().cast("binary"), 256))
+    lost = (F.col(digest) == F.col(kept_digest)) & ~F.col("doc_id").eqNullSafe(F.col(kept_id))
+    left = marked.join(F.broadcast(winners), lost, "left_anti")
+    found = left.join(kept, (F.col(digest) == F.col(kept_digest)) & F.col("doc_id").eqNullSafe(F.col(kept_id)))
     repeated = rows.groupBy("id", "digest").count().where("count > 1").limit(1).count() > 0
-    found = found.dropDuplicates(["_digest"]) if repeated else found
-    return found.select(*[F.col(c) for c in docs.columns])
+    found = found.dropDuplicates([digest]) if repeated else found
+    return found.select(*all_columns(docs))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
