@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import materialize, prepare_workers, table, text_of
+from shardwright.llm.common import all_columns, fresh, materialize, prepare_workers, table, text_of
 
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -48,14 +48,18 @@ def water_fill(totals: DataFrame, weights: tuple[float, ...], share: float, max_
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def _choose(rows: pd.DataFrame, class_size: int = 2) -> pd.Series:
-    """Which units get the extra repetition: larger ones first, each closing the gap so far."""
-    taken = wanted = 0.0
+def _choose(rows: pd.DataFrame) -> pd.Series:
+    """Which units get the extra repetition: each if the words wanted so far and not yet taken reach its own drawn share of its size.
+
+    ``draw`` is uniform, so the first unit is taken with the probability ``fraction``, and what a
+    draw leaves open the smaller units after it make up for.
+    """
+    gap = 0.0
     chosen = []
-    for size, fraction in zip(rows["unit"], rows["fraction"], strict=True):
-        wanted += fraction * size
-        take = wanted - taken >= size / 2 and fraction > 0
-        taken += size if take else 0
+    for size, fraction, draw in zip(rows["unit"], rows["fraction"], rows["draw"], strict=True):
+        gap += fraction * size
+        take = 0 < fraction and gap > draw * size
+        gap -= size if take else 0
         chosen.append(take)
     return pd.Series(chosen, index=rows.index, dtype=bool)
 
@@ -75,8 +79,8 @@ def repetitions(
     repetitions are ``floor(target / source_size)``. For the fraction, units of a source are
     dealt by seeded hash over cells of about ``cell_rows`` rows, so no task holds a whole
     source; within a cell they pass from large to small (powers of two, then seeded order) and
-    each is taken when that brings the cell nearer to its share, which leaves an error of about
-    half the smallest document a cell.
+    each is taken by its own seeded draw against the words that the cell still lacks, which
+    leaves an error of about one small document a cell.
     """
     prepare_workers(sized.sparkSession)
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
@@ -96,7 +100,8 @@ def repetitions(
     filled = F.broadcast(filled) if filled.count() <= BROADCAST_SOURCES else filled
     rows = units.join(filled, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    rows = rows.withColumn("order", order).withColumn("unit", F.col("size") * F.col("copies"))
+    draw = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("size")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.withColumn("order", order).withColumn("draw", draw).withColumn("unit", F.col("size") * F.col("copies"))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("cells")))
     schema = "doc_id long, source string, size long, copies long, source_size long, target double, repeats long"
 
@@ -129,17 +134,25 @@ def mix_table(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as its repetitions say, all columns kept."""
-    units = repetitions(materialize(sizes(docs)), **options).where("repeats > 0")
-    units = units.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("repeats").alias("_repeats"))
-    keyed = docs.withColumn("_words", word_count(text_of()))
-    joined = keyed.join(
-        units,
-        keyed["doc_id"].eqNullSafe(F.col("_id")) & keyed["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")),
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).select(
-        *[F.col(c) for c in docs.columns]
-    )
+    """The mix itself: the rows of ``docs``, each as often as its repetitions say, all columns kept.
+
+    Nulls, repeated rows and empty tables as in ``mix_table``; other columns may have any name.
+    Documents that share doc_id and source but not their size are told apart by it.
+    """
+    sized = materialize(sizes(docs))
+    units = materialize(repetitions(sized, **options))
+    own = fresh(docs, "_id", "_source", "_size", "_repeats", "_words", "_copy")
+    key, source, size, repeats, words, copy = own
+    units = units.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(size), F.col("repeats").alias(repeats))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(source))
+    keyed = docs
+    # Words are counted again only where a doc_id and source have several sizes.
+    if not units.groupBy(key, source).count().where("count > 1").isEmpty():
+        keyed = docs.withColumn(words, word_count(text_of()))
+        same &= F.col(words) == F.col(size)
+    joined = keyed.join(units.where(F.col(repeats) > 0), same)
+    joined = joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(repeats))))
+    return joined.select(*all_columns(docs))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
