@@ -107,31 +107,41 @@ class WordEncoder:
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.agrees, self.same = np.zeros(0, bool), np.zeros(0, bool)
 
-    def _line(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]] | None:
-        """Ids, sizes, agreement, sameness and text of words that each begin with their only blank; None if a line cannot be cut."""
-        line = "".join(words)
-        ids = self.bare.encode(line, add_special_tokens=False).ids
-        back = self.bare.decode(ids, skip_special_tokens=False).split(" ")[1:]
-        at = np.array(ids, np.int32)
-        cuts = np.flatnonzero(self.begins[at])
-        if len(cuts) != len(words) or len(back) != len(words):
-            return None
+    def _lines(self, parts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]] | None]:
+        """Per part its ids, sizes, agreement, sameness and text; None if it cannot be cut again into its words.
+
+        Every word begins with its only blank. All parts go to the library as one batch of
+        lines, which it encodes on its threads.
+        """
+        lines = ["".join(words) for words in parts]
+        encoded = [e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)]
+        decoded = self.bare.decode_batch(encoded, skip_special_tokens=False)
+        expected = read = [None] * len(lines)
         if self.reference is not None:
-            plain = line[1:].replace(BLANK, " ")
-            if self.reference.encode(plain) != ids or self.reference.decode(ids).split(" ") != back:
-                return None
-        same = np.array([w[1:] == b for w, b in zip(words, back, strict=True)])
-        return at, np.diff(np.append(cuts, len(at))), np.ones(len(words), bool), same, back
+            expected = self.reference.encode([line[1:].replace(BLANK, " ") for line in lines], num_threads=1)
+            read = self.reference.decode(expected, num_threads=1)
+        for words, ids, text, theirs, their_text in zip(parts, encoded, decoded, expected, read, strict=True):
+            back, at = text.split(" ")[1:], np.array(ids, np.int32)
+            cuts = np.flatnonzero(self.begins[at])
+            whole = len(cuts) == len(words) == len(back)
+            if not whole or (self.reference is not None and (theirs != ids or their_text != text[1:])):
+                yield None
+                continue
+            same = np.array([w[1:] == b for w, b in zip(words, back, strict=True)])
+            yield at, np.diff(np.append(cuts, len(at))), np.ones(len(words), bool), same, back
 
     def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """The same for any words, each by itself."""
         ids = [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
         back = [t[1:] for t in self.bare.decode_batch(ids, skip_special_tokens=False)]
         agrees = np.ones(len(ids), bool)
-        if self.reference is not None:  # it puts the first blank itself, and gives a blank alone no piece
-            expected = self.reference.encode([w[1:].replace(BLANK, " ") for w in words], num_threads=1)
+        if self.reference is not None:
+            # It puts the first blank itself and gives an empty text no piece, so a lone blank is held after a letter.
+            plain = ["x " if w == BLANK else w[1:].replace(BLANK, " ") for w in words]
+            expected = self.reference.encode(plain, num_threads=1)
             read = self.reference.decode(expected, num_threads=1)
-            agrees = np.array([a == b and x == y or w == BLANK for w, a, b, x, y in zip(words, ids, expected, back, read, strict=True)])
+            letter = self.reference.encode("x", num_threads=1)
+            agrees = np.array([a == b[len(letter) * (w == BLANK) :] and x == y[2 * (w == BLANK) :] for w, a, b, x, y in zip(words, ids, expected, back, read, strict=True)])
         same = np.array([w[1:].replace(BLANK, " ") == b for w, b in zip(words, back, strict=True)])
         return np.array([x for own in ids for x in own], np.int32), np.array([len(x) for x in ids], np.int64), agrees, same, back
 
@@ -139,7 +149,7 @@ class WordEncoder:
         simple = [w for w in missing if len(w) > 1 and w[1] != BLANK]
         others = [w for w in missing if len(w) == 1 or w[1] == BLANK]
         parts = [simple[i : i + self.LINE] for i in range(0, len(simple), self.LINE)]
-        found = [(words, self._line(words) or self._single(words)) for words in parts]
+        found = [(words, line or self._single(words)) for words, line in zip(parts, self._lines(parts), strict=True)]
         found += [(others, self._single(others))] if others else []
         first = len(self.words)
         for words, (_, _, _, same, back) in found:
