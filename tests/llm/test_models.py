@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from shardwright.llm.common import held_out
 from shardwright.llm.langid import UNDETERMINED, fit, fit_temperature, identify, predict_texts, text_counts
@@ -91,7 +92,7 @@ def test_label_model_weighs_voters():
     truth = rng.random(5000) < 0.3
     good, fair, other, poor = (np.where(rng.random(5000) < a, truth, ~truth) for a in (0.95, 0.85, 0.85, 0.6))
     votes = np.stack([good, fair, other, poor, poor, poor], axis=1).astype(float)
-    posterior, found = label_model(votes, votes.mean(axis=1))
+    posterior, found = label_model(votes, start=votes.mean(axis=1))
     assert ((posterior > 0.5) == truth).mean() > 0.93
     assert found["dependence"][3, 4] > 0.8 and found["dependence"][0, 1] < 0.3
     assert found["rates"][1, 0] > found["rates"][1, 1] > found["rates"][1, 3]
@@ -101,8 +102,6 @@ def test_held_out_accuracy_on_the_tables(spark):
     """At sf0.01 the language of documents that took no part in the learning is found for nearly all."""
     from pathlib import Path
 
-    import pytest
-
     from shardwright.llm.langid import op1_language_id
 
     folder = "/root/testdata/sf0.01"
@@ -111,3 +110,94 @@ def test_held_out_accuracy_on_the_tables(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
     unseen = op1_language_id(spark, folder).where("held_out").join(docs, "doc_id").toPandas()
     assert (unseen["lang_pred"] == unseen["lang"]).mean() > 0.97
+
+
+def test_posterior_is_bayes_rule_on_every_pattern():
+    """All eight patterns of three voters that do not repeat each other, against Bayes' rule written out."""
+    patterns = [[i >> j & 1 for j in range(3)] for i in range(8)]
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.2
+    votes = np.stack([np.where(truth, rng.random(20_000) < a, rng.random(20_000) < b) for a, b in ((0.9, 0.05), (0.7, 0.02), (0.6, 0.1))], axis=1).astype(float)
+    posterior, found = label_model(votes, rounds=400)
+    assert found["prior"] == pytest.approx([0.2], abs=0.02) and not found["dependence"].any()
+    for pattern in patterns:
+        yes, no = found["prior"][0], 1 - found["prior"][0]
+        for j, v in enumerate(pattern):
+            yes *= found["rates"][1, j] if v else 1 - found["rates"][1, j]
+            no *= found["rates"][0, j] if v else 1 - found["rates"][0, j]
+        own = posterior[(votes == pattern).all(axis=1)]
+        assert np.allclose(own, yes / (yes + no), atol=1e-3)
+
+
+def test_correlations_change_posteriors():
+    rng = np.random.default_rng(4)
+    truth = rng.random(4000) < 0.3
+    good, other, echo = (np.where(truth, rng.random(4000) < a, rng.random(4000) < b) for a, b in ((0.9, 0.02), (0.85, 0.03), (0.5, 0.2)))
+    votes = np.stack([good, other, *[echo] * 6], axis=1).astype(float)
+    with_, without = label_model(votes)[0], label_model(votes, correlated=False)[0]
+    assert ((with_ > 0.5) == truth).mean() > ((without > 0.5) == truth).mean() + 0.05
+
+
+def test_mined_parts_are_brute_force(spark):
+    """Counts by part on the executors, in small pieces, against counts of the whole sample in one."""
+    from shardwright.llm.toxicity import LEAST_G2, _likelihood_ratio, features, mine_parts
+
+    rng = random.Random(7)
+    rows = [(i, sentence("bb", rng, 20) + (" grblwort" if i % 4 == 0 and i % 20 else ""), float(i % 4 == 0)) for i in range(240)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic double").repartition(3)
+    sides = [[], []]
+    for _, text, toxic in rows:
+        sides[int(toxic)] += np.unique(np.concatenate([h for h, _ in features([text])])).tolist()
+    b, a = (dict(zip(*(x.tolist() for x in np.unique(np.array(s, np.uint64), return_counts=True)))) for s in sides)
+    ratio = {h: _likelihood_ratio(np.array([n]), np.array([b.get(h, 0)]), 60, 180)[0] for h, n in a.items()}
+    expected = {h for h, g in ratio.items() if g >= LEAST_G2}
+    assert expected and set(mine_parts(sample, 10_000, held=500).tolist()) == expected
+    assert len(mine_parts(sample, 2)) == 2
+    assert len(mine_parts(sample.where("toxic < 0.5"), 10)) == 0
+
+
+def auc(scores, truth):
+    """The share of pairs in the right order."""
+    order = np.argsort(scores, kind="stable")
+    ranks = np.empty(len(scores))
+    ranks[order] = np.arange(1, len(scores) + 1)
+    n = truth.sum()
+    return (ranks[truth].sum() - n * (n + 1) / 2) / (n * (len(truth) - n))
+
+
+def test_toxicity_without_lexicons(spark, monkeypatch):
+    """Voters mined from the labels carry the method by themselves, and no voter is the answer."""
+    from pathlib import Path
+
+    from shardwright.llm import toxicity
+
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    models = []
+    kept = toxicity.label_model
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, label: models.append((votes, label, kept(votes, label))) or models[-1][2])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    for lexicons, label_votes, least in ((toxicity.LEXICONS, True, 0.97), ({}, True, 0.95), (toxicity.LEXICONS, False, 0.95)):
+        monkeypatch.setattr(toxicity, "LEXICONS", lexicons)
+        model = toxicity.fit(docs, labels.where(~held_out(5, 0)), label_votes=label_votes)
+        got = score(docs, model).join(labels.where(held_out(5, 0)).select("doc_id", "toxic"), "doc_id").toPandas()
+        assert auc(got["score"].to_numpy(), got["toxic"].to_numpy() == 1) > least
+        assert got[got["toxic"] == 0]["predicted"].mean() < 0.01
+        votes, label, (posterior, found) = models[-1]
+        assert votes.shape[1] >= 24 and len(set(found["family"])) > 1
+        assert ((votes > 0.5) == (posterior > 0.5)[:, None]).mean(axis=0).max() < 0.99
+        if label_votes:  # labels without any other voter's support are found to be noise
+            assert 0 < ((posterior < 0.5) & label).sum() < 0.2 * label.sum()
+
+
+def test_label_is_overruled():
+    """A label that no other voter bears out is less credible than one that several do."""
+    rng = np.random.default_rng(6)
+    truth = rng.random(4000) < 0.1
+    votes = np.stack([np.where(truth, rng.random(4000) < 0.8, rng.random(4000) < 0.01) for _ in range(5)], axis=1).astype(float)
+    label = truth ^ (rng.random(4000) < 0.03)
+    posterior, found = label_model(votes, label)
+    assert ((posterior > 0.5) == truth).mean() > 0.995 > (label == truth).mean()
+    assert found["label_rates"][0, 1] > 0.9 and found["label_rates"][0, 0] < 0.06
