@@ -1,22 +1,21 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
 
-1. Equal texts form one node. Each node has ``TREES`` tries of MinHash values over its word
-   five-grams. A node of a trie with at most ``crowd`` texts is taken at the shortest prefix;
-   crowded ones are matched at longer and longer prefixes, so a passage or line that a large
-   part of the corpus shares costs no more than its rows. Before that, every member of a crowd
-   is compared with four of it by sketch and linked to those it is alike to.
-2. Texts that meet in a trie are compared by a sketch of one byte per MinHash value; those
-   that may reach the threshold are linked, a few links per bucket, never all its pairs. Texts
-   still crowded at the longest prefix are nearly equal and are linked to one of them.
-3. Components of these links hold every candidate pair. Within a component all pairs are
-   verified on their whole shingle sets, in blocks of bounded size, so pairs that no trie
-   brought together are found as well. Links are counted, not listed.
-
-A pair at similarity 0.8 misses all 12 tries at prefix 3 with probability 0.0002; components
-close most of what is left. That holds in crowds of one group of near copies too, where every
-leader is of the group. In a crowd of many groups (a shared passage) a group with a share p of
-it leads with 1 - (1 - p)^4; a text none of whose crowds its group leads has to agree at the
-longer prefixes, and misses all tries with at most (1 - 0.8^8)^12 = 0.11 at similarity 0.8.
+1. Equal texts form one node. Each node has ``TREES`` labels of MinHash values over its word
+   five-grams; a prefix of a label is a node of that tree's trie, named by a hash of tree and
+   prefix, so that a level of all tries is one grouping by name and needs no sort.
+2. Texts are matched from the longest prefix at which one can reach the target recall, by
+   ``recall``. Members of a trie node of up to ``crowd`` texts are compared by a sketch of one
+   byte per MinHash value, and those that may reach the threshold are linked, a few links per
+   node, never all its pairs. A text that lost so many of its trees to crowds that it falls
+   short of the target has its prefixes shortened; a partner that has reached the target has
+   seen every node that the two share, so only texts that are still open go on.
+3. Texts that no prefix serves (those of large groups of near copies, and texts made of
+   passages that many share) are matched with each other exactly: two texts at the threshold
+   share one of the rarest shingles of each, as many as neither can do without, in any common
+   order of all shingles; here frequent ones come last. Up to ``4 * crowd`` texts with such a
+   shingle are compared by sketch, more are all linked.
+4. Components of the links hold every candidate pair. Within a component all pairs are verified
+   on their whole shingle sets, in blocks of bounded size. Links are counted, not listed.
 """
 
 from __future__ import annotations
@@ -29,23 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import lean, materialize, packed, prepare_workers, table, text_of
+from shardwright.llm.common import all_columns, fresh, lean, materialize, packed, prepare_workers, table, text_of
 from shardwright.llm.components import HOT_SHARE, connected_components
-from shardwright.llm.textkit import BATCH_CHARS, runs, words
+from shardwright.llm.textkit import BATCH_CHARS, mix, runs, words
 
 SHINGLE = 5
-TREES = 12
-#: Prefix lengths at which a trie is matched, from the shortest.
-DEPTHS = (3, 4, 6, 8)
-VALUES = TREES * DEPTHS[-1]
+TREES = 16
+#: Values of a label, and how many prefix lengths are tried from the longest that serves.
+LABEL, TRIED = 6, 3
+VALUES = TREES * LABEL
+#: Least share of the partners at the threshold that the forest has to find for a text.
+TARGET = 0.999
 #: Sketch likeness may fall below the threshold by so much (about five standard errors).
 SLACK = 0.2
 #: Texts compared with each other in one piece of work.
 BLOCK = 1000
 #: Components up to this size are compared pair by pair.
 FEW = 12
-#: Members of a crowded bucket that all its members are compared with.
-LEADERS = 4
+#: Cells of the table of frequent shingles, which is broadcast.
+CELLS = 1 << 21
+#: Node names up to this number are broadcast, to move fewer texts; 16 bytes each.
+FEW_NODES = 1_000_000
 
 
 @lru_cache(1)
@@ -55,6 +58,23 @@ def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 
 
+def recall(length: int, crowded: int, threshold: float) -> float:
+    """The least probability that a pair at the threshold meets in a trie node at this prefix length that is no crowd.
+
+    One tree brings the pair together with threshold ** length. ``crowded`` of a text's trees
+    ended in crowds; in the worst case the pair would have met in each of them, so that share
+    of the trees is taken off.
+    """
+    meets = max(0.0, threshold**length - crowded / TREES)
+    return 1 - (1 - meets) ** TREES
+
+
+def lengths(threshold: float, target: float) -> list[int]:
+    """Prefix lengths to try, the longest first; empty if not even one value brings a text to the target."""
+    served = [k for k in range(LABEL, 0, -1) if recall(k, 0, threshold) >= target]
+    return served[:TRIED]
+
+
 def min_hashes(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """``VALUES`` 32-bit minima per text; every text must have a shingle."""
     out = np.empty((len(offsets) - 1, VALUES), np.uint32)
@@ -81,12 +101,26 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def signatures(nodes: DataFrame) -> DataFrame:
-    """Trie keys and sketch of each node with a shingle: ``node, sketch, k0, k1, ...`` (arrays over trees)."""
-    fields = ", ".join(f"k{i} array<{'long' if i == 0 else 'int'}>" for i in range(len(DEPTHS)))
+def _new(nodes: list[bytes], seen: set, most: int = 200_000) -> list[int]:
+    """Places of the nodes not met before in this task; ``seen`` forgets all once it is full."""
+    if len(seen) > most:
+        seen.clear()
+    places = []
+    for i, node in enumerate(nodes):
+        if node not in seen:
+            seen.add(node)
+            places.append(i)
+    return places
+
+
+def signatures(nodes: DataFrame, tried: list[int]) -> DataFrame:
+    """Sketch and trie nodes of each node with a shingle: ``node, sketch`` and an array over trees ``at_k`` for each length k."""
+    fields = "".join(f", at_{k} array<long>" for k in tried)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
+            batch = batch.take(pa.array(_new(batch.column(0).to_pylist(), seen), pa.int32()))
             texts = batch.column(1).to_pylist()
             for begin, end in _slices(texts):
                 values, at = runs(*words(texts[begin:end]), SHINGLE)
@@ -94,24 +128,21 @@ def signatures(nodes: DataFrame) -> DataFrame:
                 if not len(some):
                     continue
                 minima = min_hashes(values, np.append(at[:-1][some], at[-1]))
-                trees = minima.reshape(len(some), TREES, DEPTHS[-1]).astype(np.uint64)
-                mixed, keys = np.arange(1, TREES + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15), []
-                for depth in range(DEPTHS[-1]):
-                    mixed = (mixed ^ trees[:, :, depth]) * np.uint64(0xBF58476D1CE4E5B9)
-                    mixed = mixed ^ (mixed >> np.uint64(29))
-                    if depth + 1 in DEPTHS:
-                        keys.append(mixed.copy())
-                sketch = (minima & np.uint32(255)).astype(np.uint8)
-                lists = [keys[0].view(np.int64)] + [(k >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in keys[1:]]
+                labels = minima.reshape(len(some), TREES, LABEL).astype(np.uint64)
+                name = mix(np.arange(1, TREES + 1, dtype=np.uint64))[None, :]
                 ends = np.arange(len(some) + 1, dtype=np.int32) * TREES
                 columns = {
                     "node": batch.column(0).slice(begin, end - begin).take(pa.array(some)).cast(pa.binary()),
-                    "sketch": pa.array([row.tobytes() for row in sketch], pa.binary()),
+                    "sketch": pa.array([row.tobytes() for row in (minima & np.uint32(255)).astype(np.uint8)], pa.binary()),
                 }
-                columns |= {f"k{i}": pa.ListArray.from_arrays(ends, pa.array(k.ravel())) for i, k in enumerate(lists)}
+                names = {}
+                for k in range(1, LABEL + 1):
+                    name = mix(name ^ labels[:, :, k - 1])
+                    names[k] = name
+                columns |= {f"at_{k}": pa.ListArray.from_arrays(ends, pa.array(names[k].view(np.int64).ravel())) for k in tried}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    found = nodes.select("node", "text").mapInArrow(lean(work), f"node binary, sketch binary, {fields}")
+    found = nodes.select("node", "text").mapInArrow(lean(work), f"node binary, sketch binary{fields}")
     kept = [F.first(c).alias(c) for c in found.columns[1:]]
     return found.groupBy("node").agg(*kept)
 
@@ -158,90 +189,127 @@ def bucket_links(buckets: DataFrame, at_least: float) -> DataFrame:
     return buckets.select("members").mapInArrow(lean(work), "u binary, v binary")
 
 
-def _with_counts(rows: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
-    """Rows that share their key with others, with ``n``, how many do; and the number of these rows.
+def _joined(rows: DataFrame, small: DataFrame, by: str, total: int) -> DataFrame:
+    """``rows`` joined with ``small``, which has a row per key with ``n``, the number of rows (``total`` in all) that bear it.
 
-    Keys with more than a thousandth of these rows, of which there are at most a thousand, are
-    broadcast; the others are joined by shuffle.
+    Keys with more than ``HOT_SHARE`` of the rows, of which there are at most a thousand, are
+    broadcast; the others are joined by shuffle. ``small`` is read three times.
     """
-    counts = materialize(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") >= max(2.0, HOT_SHARE * total))
+    most = max(2.0, HOT_SHARE * total)
+    hot = small.where(F.col("n") >= most)
     near = rows.join(F.broadcast(hot), by)
-    far = rows.join(F.broadcast(hot.drop("n")), by, "left_anti").join(counts, by)
-    return near.unionByName(far), total
+    far = rows.join(F.broadcast(hot.select(by)), by, "left_anti").join(small.where(F.col("n") < most), by)
+    return near.unionByName(far)
+
+
+def _only(texts: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``texts`` with a node of ``nodes`` (or without); few nodes are broadcast, so that only these texts move later."""
+    few = nodes.count() <= FEW_NODES
+    return texts.join(F.broadcast(nodes) if few else nodes, "node", how)
+
+
+def _bucket_links(rows: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Links within the buckets of ``rows`` (``bucket, node``), compared by sketch."""
+    members = rows.join(sketches, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+    return bucket_links(members, threshold - SLACK)
+
+
+def forest_links(sigs: DataFrame, tried: list[int], threshold: float, target: float, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``u, v`` that the forest finds, and the nodes (``node``) that it leaves short of the target."""
+    left, buckets = sigs.select("node"), None
+    for k in tried:
+        rows = (sigs if buckets is None else sigs.join(left, "node")).select("node", F.explode(f"at_{k}").alias("bucket"))
+        rows = rows if buckets is None else materialize(rows)
+        counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        met = _joined(rows, counts, "bucket", total)
+        small = met.where(F.col("n") <= crowd).select("bucket", "node")
+        buckets = small if buckets is None else buckets.unionByName(small)
+        lost = met.where(F.col("n") > crowd).groupBy("node").agg(F.count("*").alias("crowded"))
+        most = max((c for c in range(TREES + 1) if recall(k, c, threshold) >= target), default=-1)
+        left = materialize(packed(lost.where(F.col("crowded") > most).select("node"), total))
+        if left.isEmpty():
+            break
+    if buckets is None:
+        return sigs.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0), left
+    return _bucket_links(buckets, sigs.select("node", "sketch"), threshold), left
+
+
+def _frequent(texts: DataFrame) -> np.ndarray:
+    """How often shingles occur that some task met at least twice, by ``CELLS`` cells of their hashes; no more than a good order needs."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def _leader_links(rows: DataFrame, by: list[str], sketches: DataFrame, at_least: float, total: int) -> DataFrame:
-    """Links ``u, v`` of the members of each bucket (``rows``: node and key) to its leaders that they are alike to by sketch.
+        def counted() -> pa.RecordBatch:
+            cells, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_pydict({"cell": pa.array(cells[times > 1], pa.int32()), "n": pa.array(times[times > 1], pa.int64())})
 
-    Up to ``LEADERS`` members lead a bucket, drawn by a hash of node and key, so that tries have
-    leaders of their own.
-    """
-    order = F.xxhash64("node", *by)
-    drawn = [F.expr(f"min_by(node, _order) FILTER (WHERE pmod(_order, {LEADERS}) = {i})") for i in range(LEADERS)]
-    leaders = rows.withColumn("_order", order).groupBy(*by).agg(F.count("*").alias("n"), F.array_compact(F.array(*drawn)).alias("nodes"))
-    leaders = leaders.select(*by, "n", F.explode("nodes").alias("node")).join(sketches, "node")
-    leaders = leaders.groupBy(*by, "n").agg(F.collect_list(F.struct("node", "sketch")).alias("leaders"))
-    leaders = materialize(packed(leaders, total))
-    hot = F.broadcast(leaders.where(F.col("n") >= max(2.0, HOT_SHARE * total)))
-    members = rows.join(sketches, "node")
-    near = members.join(hot, by)
-    far = members.join(hot.drop("n", "leaders"), by, "left_anti").join(leaders, by)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for begin, end in _slices(texts):
+                values, _ = runs(*words(texts[begin:end]), SHINGLE)
+                held.append((values % np.uint64(CELLS)).astype(np.int32))
+                n += len(values)
+                if n > 1 << 22:
+                    yield counted()
+                    held, n = [], 0
+        if held:
+            yield counted()
+
+    sums = texts.select("text").mapInArrow(lean(work), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(CELLS, np.int64)
+    often[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return np.minimum(often, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def rarest(shingles: np.ndarray, often: np.ndarray, threshold: float) -> np.ndarray:
+    """Of a set, its first members in the order of all shingles, as many as a partner at the threshold must share one of."""
+    n = len(shingles)
+    most = n - int(np.ceil(threshold * n - 1e-9)) + 1
+    order = np.lexsort((shingles, often[(shingles % np.uint64(CELLS)).astype(np.int64)]))
+    return shingles[order[: max(1, min(n, most))]]
+
+
+def rare_links(texts: DataFrame, sketches: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """Links whose components hold every pair of ``texts`` (``node, text``; rows may repeat) at the threshold."""
+    shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            lists = batch.column(2)
-            flat = lists.flatten()
-            heads = flat.field("node").to_pylist()
-            row = np.repeat(np.arange(len(nodes)), np.diff(lists.offsets.to_numpy()))
-            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)
-            theirs = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
-            near = np.count_nonzero(own[row] == theirs, axis=1) >= at_least * VALUES
-            found, last, first = set(), -1, None
-            for r, i in zip(row[near].tolist(), np.flatnonzero(near).tolist(), strict=True):
-                if heads[i] == nodes[r]:
-                    continue
-                # Further leaders are tied to the first, which members of a group repeat.
-                found.add((nodes[r] if r != last else first, heads[i]))
-                last, first = r, heads[i] if r != last else first
-            us, vs = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
+            batch = batch.take(pa.array(_new(batch.column(0).to_pylist(), seen), pa.int32()))
+            texts = batch.column(1).to_pylist()
+            for begin, end in _slices(texts):
+                found = [rarest(own, shared.value, threshold).view(np.int64) if len(own) else None for own in shingle_sets(texts[begin:end])]
+                yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(begin, end - begin).cast(pa.binary()), "rare": pa.array(found, pa.list_(pa.int64()))})
+
+    found = texts.select("node", "text").mapInArrow(lean(work), "node binary, rare array<long>").groupBy("node").agg(F.first("rare").alias("rare"))
+    rows = materialize(found.select("node", F.explode("rare").alias("bucket")))
+    names = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("v"), names.alias("names")).where("n > 1")
+    # Shingles that the same texts share do the same work; one of them is enough.
+    counts = materialize(counts.groupBy("n", "v", "names").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "v"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    met = _joined(rows, counts, "bucket", total)
+    close = _bucket_links(met.where(F.col("n") <= 4 * crowd).select("bucket", "node"), sketches, threshold)
+    return close.unionByName(met.where((F.col("n") > 4 * crowd) & (F.col("node") != F.col("v"))).select(F.col("node").alias("u"), "v"))
+
+
+def candidate_links(texts: DataFrame, threshold: float, target: float, crowd: int) -> DataFrame:
+    """Links whose components hold the candidate pairs of ``texts`` (``node, text``): ``u, v``."""
+    tried = lengths(threshold, target)
+    sigs = materialize(signatures(texts, tried))
+    links, left = forest_links(sigs, tried, threshold, target, crowd)
+    if not left.isEmpty():
+        left = materialize(left)
+        links = links.unionByName(rare_links(_only(texts, left), sigs.select("node", "sketch"), threshold, crowd))
+    return links.distinct()
+
 
-    return near.unionByName(far).select("node", "sketch", "leaders").mapInArrow(lean(work), "u binary, v binary")
-
-
-def candidate_links(sigs: DataFrame, threshold: float, crowd: int) -> DataFrame:
-    """Links whose components hold the candidate pairs: ``u, v``."""
-    keys = [f"k{i}" for i in range(len(DEPTHS))]
-    rows = sigs.select("node", F.inline(F.arrays_zip(*keys)))
-    sketches = sigs.select("node", "sketch")
-    small, links = [], []
-    for depth in range(len(keys)):
-        by = keys[: depth + 1]
-        met, total = _with_counts(rows, by)
-        small.append(met.where(F.col("n") <= crowd).select("node", F.xxhash64(*by).alias("bucket")))
-        crowded = met.where(F.col("n") > crowd)
-        if depth + 1 < len(keys):
-            rows = materialize(packed(crowded.drop("n"), total))
-            # A member may be alone at the next prefix, so it is tied to the crowd's leaders before it leaves.
-            links.append(_leader_links(rows, by, sketches, threshold - SLACK, total))
-        else:
-            leaders = crowded.groupBy(*by).agg(F.min("node").alias("v"), F.count("*").alias("n"))
-            hot = F.broadcast(leaders.where(F.col("n") >= max(2.0, HOT_SHARE * total)).drop("n"))
-            crowded = crowded.drop("n")
-            cold = crowded.join(hot.drop("v"), by, "left_anti").join(leaders.drop("n"), by)
-            links.append(crowded.join(hot, by).unionByName(cold).where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v"))
-    buckets = small[0]
-    for more in small[1:]:
-        buckets = buckets.unionByName(more)
-    members = buckets.join(sketches, "node")
-    members = members.groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-    found = bucket_links(members, threshold - SLACK)
-    for more in links:
-        found = found.unionByName(more)
-    return found.distinct()
+def _enough(shared, union, threshold: float):
+    """Whether sets that share ``shared`` of ``union`` members reach the threshold, which rounding must not take from them."""
+    return shared >= threshold * union - 1e-9 * union
 
 
 def _verify(sets: list[np.ndarray], left: int, within: bool, threshold: float) -> np.ndarray:
@@ -255,7 +323,7 @@ def _verify(sets: list[np.ndarray], left: int, within: bool, threshold: float) -
         for j in range(len(sets)):
             for i in range(j):
                 shared = _shared(sets[i], sets[j])
-                if shared >= threshold * (sizes[i] + sizes[j] - shared) - 1e-9:
+                if _enough(shared, sizes[i] + sizes[j] - shared, threshold):
                     found.append((i, j))
         return np.array(found, np.int64).reshape(-1, 2)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -267,7 +335,7 @@ def _verify(sets: list[np.ndarray], left: int, within: bool, threshold: float) -
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     a, b = (len(sets), 0) if within else (left, left)
-    shared = np.zeros((a, len(sets) - b), np.float32)
+    shared = np.zeros((a, len(sets) - b))
     width = 4096
     for first in range(0, int(often.sum()), width):
         lo, hi = np.searchsorted(column, [first, first + width])
@@ -275,7 +343,7 @@ def _verify(sets: list[np.ndarray], left: int, within: bool, threshold: float) -
         part[row[lo:hi], column[lo:hi] - first] = 1
         shared += part[:a] @ part[b:].T
     union = sizes[:a, None] + sizes[None, b:] - shared
-    i, j = np.nonzero(shared >= threshold * union - 1e-6 * union)
+    i, j = np.nonzero(_enough(shared, union, threshold))
     if within:
         i, j = i[i < j], j[i < j]
     return np.stack([i, j + b], axis=1)
@@ -342,36 +410,40 @@ def node_key(text) -> F.Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def _linked_nodes(texts: DataFrame, threshold: float, crowd: int) -> DataFrame:
-    """``node, copies, least, links, component`` of each distinct text of ``texts`` (``doc_id, text, node``).
+def _linked_nodes(texts: DataFrame, ids: DataFrame, threshold: float, target: float, crowd: int) -> DataFrame:
+    """``node, n, least, links, class_node, class_least`` of each distinct text of ``texts`` (``node, text``) with the rows ``ids`` (``doc_id, node``).
 
-    ``least`` is the least doc_id of its rows; ``links`` is null without a link to another text.
+    ``n`` counts its rows and ``least`` is the least doc_id of these; ``links`` is null without a
+    link to another text, and so are ``class_node`` and ``class_least``, the least node and
+    doc_id of its class.
     """
-    nodes = materialize(texts.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")))
-    sigs = materialize(signatures(texts))
-    loose = connected_components(candidate_links(sigs, threshold, crowd))
-    loose = materialize(loose)
+    nodes = materialize(ids.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
+    loose = materialize(connected_components(candidate_links(texts, threshold, target, crowd)))
     # Ten blocks from some size on, so that its cells spread; more only where they would grow too large.
-    members = F.count("*")
+    members = F.col("n")
     blocks = F.greatest(F.ceil(members / BLOCK), F.least(F.lit(10), F.ceil(members / (BLOCK / 5))))
-    sizes = loose.groupBy("component").agg(blocks.cast("int").alias("blocks"))
-    placed = loose.join(sizes, "component").join(nodes.select("node", F.col("copies").alias("weight")), "node")
+    sizes = materialize(loose.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", blocks.cast("int")))
+    placed = _joined(loose, sizes, "component", loose.count()).drop("n")
+    placed = placed.join(nodes.select("node", F.col("n").alias("weight")), "node")
     placed = placed.withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    distinct_texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    distinct_texts = _only(texts, loose.select("node")).groupBy("node").agg(F.first("text").alias("text"))
     cells = distinct_texts.join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     found = materialize(verified(cells, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.select(F.col("node").alias("u"), "v").where("u != v"))
-    known = nodes.join(links, "node", "left").join(classes, "node", "left")
-    return known.withColumn("component", F.coalesce("component", "node"))
+    classes = materialize(connected_components(found.select(F.col("node").alias("u"), "v").where("u != v")))
+    own = classes.join(nodes.select("node", "least"), "node")
+    of_class = materialize(own.groupBy("component").agg(F.count("*").alias("n"), F.min("least").alias("class_least")))
+    classed = _joined(classes, of_class, "component", classes.count()).join(links, "node")
+    classed = classed.select("node", "links", F.col("component").alias("class_node"), "class_least")
+    return materialize(nodes.join(classed, "node", "left"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).withColumn("node", node_key(F.col("text")))
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = 0.8, target: float = TARGET, crowd: int = 64) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links``.
 
     Documents are linked when their sets of five-word runs (words as in ``textkit``; a text of
@@ -384,38 +456,44 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> Data
     """
     prepare_workers(docs.sparkSession)
     texts = _texts(docs)
-    known = _linked_nodes(texts, threshold, crowd)
-    least = known.where("links IS NOT NULL").groupBy("component").agg(F.min("least").alias("class_least"))
-    known = known.join(least, "component", "left").select(
+    ids = materialize(texts.select("doc_id", "node"))
+    known = _linked_nodes(texts, ids, threshold, target, crowd).select(
         "node",
-        F.coalesce("class_least", "least").alias("class_id"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        "n",
+        F.when(F.col("class_node").isNull(), F.col("least")).otherwise(F.col("class_least")).alias("class_id"),
+        (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    return texts.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links")
+    return _joined(ids, known, "node", ids.count()).select("doc_id", "class_id", "n_links")
 
 
-def one_of_each_class(docs: DataFrame, threshold: float = 0.8, crowd: int = 64) -> DataFrame:
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, target: float = TARGET, crowd: int = 64) -> DataFrame:
     """The rows of ``docs`` with one document of each class left, all columns kept: the one with the least doc_id.
 
     A null doc_id comes last; of different texts under that doc_id the one with the least node
-    stays, and of rows that repeat both one. Documents without a link stay. What is decided is a
-    set of doc_ids and nodes; texts move once more, in the join with it.
+    stays, and of rows that repeat both one. Documents without a link stay. A null text is
+    empty, an empty table stays empty, and other columns may have any name. What is decided is a
+    set of doc_ids and nodes; few of them are broadcast, and then no text moves.
     """
     prepare_workers(docs.sparkSession)
     texts = _texts(docs)
-    known = _linked_nodes(texts, threshold, crowd)
-    first = known.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first"))
-    first = first.select(F.col("first.least").alias("_first_id"), F.col("first.node").alias("_first_node"), F.lit(True).alias("_stays"))
-    rows = texts.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_row_node")).agg(F.count("*").alias("_n"))
-    rows = rows.join(first, F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_row_node") == F.col("_first_node")), "left")
-    rows = materialize(rows.where("_stays IS NULL OR _n > 1").select("_id", "_row_node", "_stays"))
-    lost, repeated = rows.where("_stays IS NULL"), rows.where("_stays")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_row_node"))
-    kept = docs.withColumn("_node", node_key(text_of())).join(lost, same, "left_anti")
-    if not repeated.isEmpty():
-        single = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_node"])
+    ids = materialize(texts.select("doc_id", "node"))
+    known = _linked_nodes(texts, ids, threshold, target, crowd)
+    class_of = F.coalesce("class_node", "node")
+    first = known.groupBy(class_of.alias("c")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first"))
+    names = fresh(docs, "_key", "_node", "_lost_key", "_lost_node", "_stays")
+    key, node, lost_key, lost_node, stays = names
+    first = first.select(F.col("first.least").alias(key), F.col("first.node").alias(node), F.lit(True).alias(stays))
+    rows = ids.groupBy(F.col("doc_id").alias(lost_key), F.col("node").alias(lost_node)).agg(F.count("*").alias("n"))
+    rows = rows.join(first, F.col(lost_key).eqNullSafe(F.col(key)) & (F.col(lost_node) == F.col(node)), "left")
+    rows = materialize(rows.where(F.col(stays).isNull() | (F.col("n") > 1)).select(lost_key, lost_node, stays))
+    few = rows.count() <= FEW_NODES
+    lost, repeated = (F.broadcast(x) if few else x for x in (rows.where(F.col(stays).isNull()), rows.where(F.col(stays))))
+    same = F.col("doc_id").eqNullSafe(F.col(lost_key)) & (F.col(node) == F.col(lost_node))
+    kept = docs.withColumn(node, node_key(text_of())).join(lost, same, "left_anti")
+    if not rows.where(F.col(stays)).isEmpty():
+        single = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", node])
         kept = kept.join(repeated, same, "left_anti").unionByName(single)
-    return kept.select(*docs.columns)
+    return kept.select(*all_columns(docs))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
