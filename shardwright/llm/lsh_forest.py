@@ -209,8 +209,10 @@ def _only(texts: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFra
 
 
 def _bucket_links(rows: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Links within the buckets of ``rows`` (``bucket, node``), compared by sketch."""
-    members = rows.join(sketches, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+    """Links within the buckets of ``rows`` (``bucket, node``), compared by sketch; a long text may be in very many buckets."""
+    rows = materialize(rows)
+    held = materialize(sketches.join(rows.groupBy("node").agg(F.count("*").alias("n")), "node"))
+    members = _joined(rows, held, "node", rows.count()).groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
     return bucket_links(members, threshold - SLACK)
 
 
@@ -358,8 +360,8 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 def verified(cells: DataFrame, threshold: float) -> DataFrame:
     """``node, v, links``: per cell, the weight of each node's partners and a node its component is tied to.
 
-    ``cells`` has ``component, i, j, block, node, weight, text``; a cell holds the blocks i and j of a
-    component and is worked off as a whole, at most two blocks.
+    ``cells`` has ``component, blocks, i, j, block, node, weight, text``; a cell holds the blocks i and j
+    of a component's ``blocks`` and is worked off as a whole, at most two blocks.
     """
 
     def cell(rows: list[tuple], i: int, j: int) -> Iterator[tuple[bytes, bytes, int]]:
@@ -394,7 +396,10 @@ def verified(cells: DataFrame, threshold: float) -> DataFrame:
         yield _as_batch(out)
 
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.select("component", "i", "j", "block", "node", "weight", "text").repartition(parts, "component", "i", "j")
+    # The cells of a component go to partitions in turn; dealt by hash, several large ones would meet.
+    number = F.expr("(i * (2 * blocks - i + 1)) div 2 + j - i")
+    dealt = cells.withColumn("part", F.pmod(F.hash("component").cast("long") + number, F.lit(parts)).cast("int"))
+    dealt = dealt.repartitionById(parts, "part").select("component", "i", "j", "block", "node", "weight", "text")
     return dealt.sortWithinPartitions("component", "i", "j").mapInArrow(lean(work), "node binary, v binary, links long")
 
 
@@ -418,7 +423,7 @@ def _linked_nodes(texts: DataFrame, ids: DataFrame, threshold: float, target: fl
     doc_id of its class.
     """
     nodes = materialize(ids.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
-    loose = materialize(connected_components(candidate_links(texts, threshold, target, crowd)))
+    loose = materialize(connected_components(candidate_links(texts, threshold, target, crowd)).repartition("node"))
     # Ten blocks from some size on, so that its cells spread; more only where they would grow too large.
     members = F.col("n")
     blocks = F.greatest(F.ceil(members / BLOCK), F.least(F.lit(10), F.ceil(members / (BLOCK / 5))))
@@ -431,7 +436,7 @@ def _linked_nodes(texts: DataFrame, ids: DataFrame, threshold: float, target: fl
     cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     found = materialize(verified(cells, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = materialize(connected_components(found.select(F.col("node").alias("u"), "v").where("u != v")))
+    classes = materialize(connected_components(found.select(F.col("node").alias("u"), "v").where("u != v")).repartition("node"))
     own = classes.join(nodes.select("node", "least"), "node")
     of_class = materialize(own.groupBy("component").agg(F.count("*").alias("n"), F.min("least").alias("class_least")))
     classed = _joined(classes, of_class, "component", classes.count()).join(links, "node")
