@@ -33,8 +33,14 @@ class Strategy(ABC):
     def assign(self, data: DataFrame) -> DataFrame: ...
 
     def materialize(self, data: DataFrame) -> DataFrame:
-        """Rows of ``data`` with their partition: a join on the keys, null-safe."""
+        """Rows of ``data`` with their partition: a join on the keys, null-safe.
+
+        A table that already has a column of that name is refused, as one of the two would be lost.
+        """
         placed = self.assign(data)
+        taken = [c for c in placed.columns if c not in self.key_cols and c.lower() in map(str.lower, data.columns) and c != getattr(self, "series_col", None)]
+        if taken:
+            raise ValueError(f"the table already has a column {taken[0]!r}; rename it first")
         renamed = placed.select(*[placed[c].alias(f"_key_{c}" if c in self.key_cols else c) for c in placed.columns])
         on = None
         for c in self.key_cols:

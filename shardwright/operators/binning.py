@@ -10,12 +10,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardwright.functions.ordering import exact_quantiles
+
+#: Bins that a histogram rule may ask for; their edges come to the driver and into the plan.
+MOST_BINS = 10_000
+
 
 def quantile_edges(data: DataFrame, value: str, bins: int) -> list[float]:
     """Distinct edges at the exact quantiles 0, 1/bins, ..., 1 (linear interpolation)."""
     shares = [i / bins for i in range(bins + 1)]
-    found = data.agg(F.percentile(value, F.array(*[F.lit(s) for s in shares]))).first()[0]
-    return sorted(set(found or []))
+    return sorted(set(exact_quantiles(data, value, shares)))
 
 
 def uniform_edges(data: DataFrame, value: str, bins: int) -> list[float]:
@@ -46,13 +50,11 @@ def rule_edges(data: DataFrame, value: str, rule: str, n_partitions: int = 5) ->
     ``freedman_diaconis``: width 2 IQR / cbrt(n); ``scott``: 3.5 sd / cbrt(n); ``quantile``:
     between 2 and ``n_partitions`` quantile bins, no more than distinct values. A constant
     column has one bin of width 1e-9; a width that is zero, or larger than the range, gives one
-    bin.
+    bin. More than ``MOST_BINS`` bins are refused.
     """
     if rule not in ("freedman_diaconis", "scott", "quantile"):
         raise ValueError(f"unknown bin rule {rule!r}; known: freedman_diaconis, scott, quantile")
-    n, low, high, quartiles, sd = data.agg(
-        F.count(value), F.min(value), F.max(value), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))), F.stddev_samp(value)
-    ).first()
+    n, low, high, sd = data.agg(F.count(value), F.min(value), F.max(value), F.stddev_samp(value)).first()
     if not n:
         return []
     low, high = float(low), float(high)
@@ -61,10 +63,16 @@ def rule_edges(data: DataFrame, value: str, rule: str, n_partitions: int = 5) ->
     if rule == "quantile":
         distinct = data.select(value).where(F.col(value).isNotNull()).distinct().count()
         return quantile_edges(data, value, max(2, min(distinct, n_partitions)))
-    width = 2 * (quartiles[1] - quartiles[0]) / n ** (1 / 3) if rule == "freedman_diaconis" else 3.5 * (sd or 0.0) / n ** (1 / 3)
+    if rule == "freedman_diaconis":
+        quartiles = exact_quantiles(data, value, [0.25, 0.75])
+        width = 2 * (quartiles[1] - quartiles[0]) / n ** (1 / 3)
+    else:
+        width = 3.5 * (sd or 0.0) / n ** (1 / 3)
     if not width or not math.isfinite(width) or width <= 0:
         return [low, high]
     bins = max(1, math.ceil((high - low) / width))
+    if bins > MOST_BINS:
+        raise ValueError(f"{rule} asks for {bins} bins of {value!r}, more than {MOST_BINS}; an outlier may have stretched the range")
     return [low + (high - low) * i / bins for i in range(bins)] + [high]
 
 

@@ -23,6 +23,14 @@ def fold_summary(assigned: DataFrame, label: str) -> DataFrame:
     return assigned.groupBy("partition", label).agg(F.count("*").alias("n"))
 
 
+def bin_distribution(assigned: DataFrame, bin_col: str = "bin") -> DataFrame:
+    """``partition, bin, n, share``: how a partition's rows lie over the bins of the target."""
+    counts = assigned.groupBy("partition", bin_col).agg(F.count("*").alias("n"))
+    sizes = assigned.groupBy(F.col("partition").alias("_p")).agg(F.count("*").alias("_n"))
+    joined = counts.join(F.broadcast(sizes), F.col("partition").eqNullSafe(F.col("_p")))
+    return joined.select("partition", bin_col, "n", (F.col("n") / F.col("_n")).alias("share"))
+
+
 def fold_validation(folds: DataFrame, label: str, n_classes: int) -> DataFrame:
     """Per fold, its distinct classes against those of the table."""
     return folds.groupBy("fold").agg(F.count_distinct(label).alias("n_classes")).withColumn("complete", F.col("n_classes") == n_classes)

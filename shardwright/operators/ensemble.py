@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardwright.operators.graph import checkpointed
+
 log = logging.getLogger(__name__)
 
 
@@ -39,31 +42,38 @@ def argmax(values: Column) -> Column:
 class PartitionEnsemble:
     """Trains a model on each partition and joins their predictions.
 
-    ``make_estimator`` gives an untrained ``pyspark.ml`` estimator. A partition that cannot be
-    learnt from is skipped with a warning. ``weight_key`` names the metric whose value weighs a
+    ``make_estimator`` gives an untrained ``pyspark.ml`` estimator. A few partitions are learnt
+    from at a time. One with a single class (or, for regression, a single row) is skipped with a
+    warning; other failures are raised. ``weight_key`` names the metric whose value weighs a
     model's vote (``evaluate`` gives the metrics of a model on its partition); by default all
     weigh the same.
     """
 
-    def __init__(self, make_estimator: Callable, problem: str = "classification", weight_key: str | None = None, evaluate: Callable | None = None) -> None:
+    FITS_AT_ONCE = 4
+
+    def __init__(self, make_estimator: Callable, problem: str = "classification", weight_key: str | None = None, evaluate: Callable | None = None, label_col: str = "label") -> None:
         if problem not in ("classification", "regression"):
             raise ValueError("problem is classification or regression")
-        self.make_estimator, self.problem, self.weight_key, self.evaluate = make_estimator, problem, weight_key, evaluate
+        self.make_estimator, self.problem, self.weight_key, self.evaluate, self.label_col = make_estimator, problem, weight_key, evaluate, label_col
         self.models: dict = {}
         self.metrics: dict = {}
 
     def fit(self, partitioned: DataFrame) -> PartitionEnsemble:
-        partitioned = partitioned.persist()
-        try:
-            for name in sorted(r["partition"] for r in partitioned.select("partition").distinct().collect()):
-                rows = partitioned.where(F.col("partition") == name)
-                try:
-                    self.models[name] = self.make_estimator().fit(rows)
-                    self.metrics[name] = self.evaluate(self.models[name], rows) if self.evaluate else {}
-                except Exception as error:  # noqa: BLE001  a partition may lack a class
-                    log.warning("partition %s is skipped: %s", name, error)
-        finally:
-            partitioned.unpersist()
+        partitioned = checkpointed(partitioned)
+        many = F.count_distinct(self.label_col) if self.problem == "classification" else F.count(self.label_col)
+        sizes = {r["partition"]: r["n"] for r in partitioned.groupBy("partition").agg(many.alias("n")).collect()}
+
+        def train(name: str) -> tuple:
+            rows = partitioned.where(F.col("partition") == name)
+            model = self.make_estimator().fit(rows)
+            return model, self.evaluate(model, rows) if self.evaluate else {}
+
+        named = [name for name in sorted(sizes) if sizes[name] > 1]
+        for name in sorted(set(sizes) - set(named)):
+            log.warning("partition %s is skipped: there is nothing to tell apart", name)
+        with ThreadPoolExecutor(self.FITS_AT_ONCE) as pool:
+            for name, (model, metrics) in zip(named, pool.map(train, named), strict=True):
+                self.models[name], self.metrics[name] = model, metrics
         if not self.models:
             raise ValueError("no partition could be learnt from")
         return self

@@ -2,7 +2,8 @@
 
 A group of n rows is cut into blocks; each pair of blocks is one piece of bounded size whose
 nearest rows are found with NumPy, and a window merges the pieces. The work is quadratic in a
-group by nature; no task holds more than two blocks.
+group by nature, so groups above ``MOST_ROWS`` are refused; no task holds more than two blocks,
+and no row gets more than ``MOST_NEIGHBOURS`` neighbours a block.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from shardwright.workers import ship_code
 
 BLOCK = 2000
+#: Rows of a group, and neighbours of a row, that are looked for at most; more is an error, not a cut.
+MOST_ROWS, MOST_NEIGHBOURS = 1_000_000, 1000
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -33,9 +36,14 @@ def nearest(rows: DataFrame, groups: list[str], key: str, features: str, k: int,
     ``queries`` (by default ``rows``) are searched for. Ties go to the smaller key; ``place``
     counts from 1. Rows with a null group are a group.
     """
+    if k > MOST_NEIGHBOURS:
+        raise ValueError(f"{k} neighbours are more than {MOST_NEIGHBOURS}; ask for fewer")
     ship_code(rows.sparkSession)
     queries = rows if queries is None else queries
     sizes = rows.groupBy(*groups).agg(F.count("*").alias("_n")) if groups else rows.agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest > MOST_ROWS:
+        raise ValueError(f"a group has {largest} rows, more than {MOST_ROWS}; comparing all pairs is quadratic, split it first")
     sizes = sizes.select(*[F.col(g).alias(f"_{g}") for g in groups], F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
 
     def placed(side: DataFrame, role: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Rows have the groups, a key, a class and an array of doubles. Results have the same columns and
 ``synthetic``; synthetic rows have a null key. Which rows are drawn, which neighbour a synthetic
-row leans to and how far are all seeded hashes.
+row leans to and how far are all seeded hashes. Rows without a label are a class of their own.
 """
 
 from __future__ import annotations
@@ -15,6 +15,19 @@ from shardwright.operators.graph import checkpointed
 from shardwright.operators.knn import nearest
 
 
+def _class_join(rows: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` joined with the further columns of ``other``, which has a row per ``by``; null equals null."""
+    renamed = other.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in other.columns if c not in by])
+    on = F.lit(True)
+    for c in by:
+        on = on & rows[c].eqNullSafe(renamed[f"_by_{c}"])
+    return rows.join(renamed, on).drop(*[f"_by_{c}" for c in by])
+
+
+def _differ(a: str, b: str):
+    return ~F.col(a).eqNullSafe(F.col(b))
+
+
 class Balancer:
     """The columns and the seed that the resampling methods share."""
 
@@ -31,7 +44,7 @@ class Balancer:
         )
 
     def _with_counts(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.class_counts(rows), [*self.groups, self.label])
+        return _class_join(rows, self.class_counts(rows), [*self.groups, self.label])
 
     def _columns(self, synthetic: bool = False) -> list:
         return [*self.groups, self.key, self.label, self.features, F.lit(synthetic).alias("synthetic")]
@@ -45,13 +58,14 @@ class Balancer:
     def _synthesize(self, rows: DataFrame, wanted: DataFrame, k: int | None) -> DataFrame:
         """Rows between a base row and one of its neighbours of the same class.
 
-        ``wanted`` has groups, label, key and ``_copy`` (from 0): one synthetic row each. Without ``k``
-        any other row of the class may be the neighbour.
+        ``wanted`` has groups, label, key and ``_copy`` (from 0): one synthetic row each, known by
+        ``_origin``. Without ``k`` any other row of the class may be the neighbour; where that
+        asks for a neighbour too far down the list, ``nearest`` refuses and ``k`` has to be given.
         """
         by = [*self.groups, self.label]
         counts = self.class_counts(rows).select(*by, "n", "least")
         limit = F.greatest(F.col("least") - 1, F.lit(1)) if k is None else F.lit(k)
-        picks = wanted.join(counts, by).withColumn("_k", F.least(limit, F.col("n") - 1)).where("_k > 0")
+        picks = _class_join(wanted, counts, by).withColumn("_k", F.least(limit, F.col("n") - 1)).where("_k > 0")
         h = order_key(self.seed, [self.key], F.col("_copy").cast("string"))
         picks = picks.withColumn("_h", h)
         place = F.pmod(F.conv(F.substring("_h", 9, 8), 16, 10).cast("bigint"), F.col("_k")) + 1
@@ -59,14 +73,15 @@ class Balancer:
         picks = checkpointed(picks)
         most = picks.agg(F.max("place")).first()[0]
         if not most:
-            return rows.limit(0).select(*self._columns(True))
-        near = nearest(rows, by, self.key, self.features, most, queries=rows.join(picks.select(*by, self.key).distinct(), [*by, self.key], "left_semi"))
-        x = rows.select(*by, self.key, F.col(self.features).alias("_x"))
-        y = rows.select(*by, F.col(self.key).alias("neighbour"), F.col(self.features).alias("_y"))
-        made = picks.join(near.select(*by, self.key, "place", "neighbour"), [*by, self.key, "place"]).join(x, [*by, self.key]).join(y, [*by, "neighbour"])
+            return rows.limit(0).select(*self._columns(True), F.lit(None).cast("string").alias("_origin"))
+        near = nearest(rows, by, self.key, self.features, most, queries=rows.join(picks.select(*self.groups, self.key).distinct(), [*self.groups, self.key], "left_semi"))
+        x = rows.select(*self.groups, self.key, F.col(self.features).alias("_x"))
+        y = rows.select(*self.groups, F.col(self.key).alias("neighbour"), F.col(self.features).alias("_y"))
+        near = near.select(*self.groups, self.key, "place", "neighbour")
+        made = picks.join(near, [*self.groups, self.key, "place"]).join(x, [*self.groups, self.key]).join(y, [*self.groups, "neighbour"])
         point = F.transform("_x", lambda v, i: v + F.col("_u") * (F.get("_y", i) - v))
         key_type = dict(rows.dtypes)[self.key]
-        return made.select(*self.groups, F.lit(None).cast(key_type).alias(self.key), self.label, point.alias(self.features), F.lit(True).alias("synthetic"))
+        return made.select(*self.groups, F.lit(None).cast(key_type).alias(self.key), self.label, point.alias(self.features), F.lit(True).alias("synthetic"), F.concat_ws(":", self.key, "_copy").alias("_origin"))
 
     def smote(self, rows: DataFrame, k: int | None = None) -> DataFrame:
         """Every class filled up to the largest of its group (Chawla et al. 2002).
@@ -74,13 +89,17 @@ class Balancer:
         Base rows are taken in seeded order, over and over. ``k`` neighbours are open to choice,
         by default one less than the smallest class has rows.
         """
+        return self._smote(rows, k).drop("_origin")
+
+    def _smote(self, rows: DataFrame, k: int | None) -> DataFrame:
         keyed = rows.withColumn("_key", order_key(self.seed, [self.key]))
         ranked = self._with_counts(ranks(keyed, [*self.groups, self.label], "_key", [self.key]))
         need = F.col("most") - F.col("n")
         copies = F.floor(need / F.col("n")) + F.when(F.col("rank") < need % F.col("n"), 1).otherwise(0)
         wanted = ranked.withColumn("_copies", copies).where("_copies > 0")
         wanted = wanted.select(*self.groups, self.label, self.key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy"))
-        return rows.select(*self._columns()).unionByName(self._synthesize(rows, wanted, k))
+        base = rows.select(*self._columns(), F.lit(None).cast("string").alias("_origin"))
+        return base.unionByName(self._synthesize(rows, wanted, k))
 
     def adasyn(self, rows: DataFrame, k: int = 5) -> DataFrame:
         """Synthetic rows where a class lies among others (He et al. 2008).
@@ -92,12 +111,12 @@ class Balancer:
         theirs = rows.select(*self.groups, F.col(self.key).alias("neighbour"), F.col(self.label).alias("_other"))
         own = self._with_counts(rows).where("n < most").select(*self.groups, self.key, self.label, "n", "most")
         hard = near.join(theirs, [*self.groups, "neighbour"]).join(own, [*self.groups, self.key])
-        hard = hard.groupBy(*self.groups, self.label, self.key, "n", "most").agg(F.avg(F.when(F.col("_other") != F.col(self.label), 1.0).otherwise(0.0)).alias("_r"))
+        hard = hard.groupBy(*self.groups, self.label, self.key, "n", "most").agg(F.avg(F.when(_differ("_other", self.label), 1.0).otherwise(0.0)).alias("_r"))
         total = F.sum("_r").over(Window.partitionBy(*self.groups, self.label))
         copies = F.when(total > 0, F.floor(F.col("_r") / total * (F.col("most") - F.col("n")) + 0.5)).otherwise(0).cast("long")
         wanted = hard.withColumn("_copies", copies).where("_copies > 0")
         wanted = wanted.select(*self.groups, self.label, self.key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy"))
-        return rows.select(*self._columns()).unionByName(self._synthesize(rows, wanted, k))
+        return rows.select(*self._columns()).unionByName(self._synthesize(rows, wanted, k).drop("_origin"))
 
     def _cleanable(self, rows: DataFrame, everything: bool) -> DataFrame:
         marked = self._with_counts(rows)
@@ -108,7 +127,7 @@ class Balancer:
         near = nearest(rows, self.groups, self.key, self.features, k)
         theirs = rows.select(*self.groups, F.col(self.key).alias("neighbour"), F.col(self.label).alias("_other"))
         mine = rows.select(*self.groups, self.key, F.col(self.label).alias("_mine"))
-        odd = near.join(theirs, [*self.groups, "neighbour"]).join(mine, [*self.groups, self.key]).where(F.col("_other") != F.col("_mine"))
+        odd = near.join(theirs, [*self.groups, "neighbour"]).join(mine, [*self.groups, self.key]).where(_differ("_other", "_mine"))
         lost = self._cleanable(rows, everything).join(odd.select(*self.groups, self.key).distinct(), [*self.groups, self.key], "left_semi")
         return rows.join(lost.select(*self.groups, self.key), [*self.groups, self.key], "left_anti").select(*self._columns())
 
@@ -119,24 +138,23 @@ class Balancer:
         mutual = near.join(back, [*self.groups, self.key, "neighbour"])
         mine = rows.select(*self.groups, self.key, F.col(self.label).alias("_mine"))
         theirs = rows.select(*self.groups, F.col(self.key).alias("neighbour"), F.col(self.label).alias("_other"))
-        pairs = mutual.join(mine, [*self.groups, self.key]).join(theirs, [*self.groups, "neighbour"]).where(F.col("_mine") != F.col("_other"))
+        pairs = mutual.join(mine, [*self.groups, self.key]).join(theirs, [*self.groups, "neighbour"]).where(_differ("_mine", "_other"))
         lost = self._cleanable(rows, everything).join(pairs.select(*self.groups, self.key), [*self.groups, self.key], "left_semi")
         return rows.join(lost.select(*self.groups, self.key), [*self.groups, self.key], "left_anti").select(*self._columns())
 
     def _then(self, filled: DataFrame, clean) -> DataFrame:
-        """Cleans rows some of which have no key: positions by content stand in for keys."""
-        text = F.concat_ws(",", F.transform(self.features, lambda v: v.cast("string")))
-        stand_in = F.when(F.col("synthetic"), F.concat(F.lit("s:"), text)).otherwise(F.concat(F.lit("k:"), F.col(self.key).cast("string")))
+        """Cleans rows some of which have no key: base key and copy stand in for it, so equal points stay apart."""
+        stand_in = F.when(F.col("synthetic"), F.concat(F.lit("s:"), F.col("_origin"))).otherwise(F.concat(F.lit("k:"), F.col(self.key).cast("string")))
         named = checkpointed(filled.withColumn("_row", stand_in))
         inner = Balancer(self.groups, "_row", self.label, self.features, self.seed)
         kept = clean(inner)(named.select(*self.groups, "_row", self.label, self.features), everything=True)
-        return named.join(kept.select(*self.groups, "_row"), [*self.groups, "_row"], "left_semi").drop("_row")
+        return named.join(kept.select(*self.groups, "_row"), [*self.groups, "_row"], "left_semi").drop("_row", "_origin")
 
     def smote_enn(self, rows: DataFrame, k: int | None = None) -> DataFrame:
-        return self._then(self.smote(rows, k), lambda b: b.edited_neighbours)
+        return self._then(self._smote(rows, k), lambda b: b.edited_neighbours)
 
     def smote_tomek(self, rows: DataFrame, k: int | None = None) -> DataFrame:
-        return self._then(self.smote(rows, k), lambda b: b.tomek_links)
+        return self._then(self._smote(rows, k), lambda b: b.tomek_links)
 
 
 #: Method names and what they run; None balances nothing.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.operators.base import Strategy, names
-from shardwright.operators.features import mean_impute, numeric_columns, zscore
+from shardwright.operators.features import NUMERIC, mean_impute, numeric_columns, zscore
 from shardwright.operators.graph import checkpointed, components
 from shardwright.workers import ship_code
 
@@ -21,6 +21,9 @@ MOST_FEATURES = 50
 class FeatureClustering(Strategy):
     """Numeric columns are imputed by the mean, scaled and clustered: ``chunk_<cluster>``.
 
+    An array of numbers counts as so many columns as its longest row has places; without
+    ``feature_cols`` all numeric columns and arrays are taken.
+
     ``method`` ``kmeans`` takes ``k`` (by default ``n_partitions``) and MLlib's options; ``dbscan``
     takes ``eps`` and ``min_samples`` and leaves noise out. Clusters of ``dbscan`` are numbered by
     their least key.
@@ -38,10 +41,22 @@ class FeatureClustering(Strategy):
 
     def scaled(self, data: DataFrame) -> tuple[DataFrame, list[str]]:
         """Keys and scaled features; beyond ``MOST_FEATURES`` columns their principal components."""
-        columns = self.feature_cols or numeric_columns(data, self.key_cols)
-        if not columns:
+        kinds = dict(data.dtypes)
+        arrays = [c for c, kind in data.dtypes if kind.startswith("array<") and kind[6:-1] in (*NUMERIC, "decimal") and c not in self.key_cols]
+        chosen = self.feature_cols or [*numeric_columns(data, self.key_cols), *arrays]
+        if not chosen:
             raise ValueError("there is no numeric column to cluster by")
-        rows = zscore(mean_impute(data.select(*self.key_cols, *columns), columns), columns)
+        wide = [c for c in chosen if kinds[c].startswith("array")]
+        sizes = data.agg(*[F.max(F.size(c)).alias(c) for c in wide]).first().asDict() if wide else {}
+        expanded = []
+        for c in chosen:
+            if c in wide:
+                expanded += [F.get(c, F.lit(i)).cast("double").alias(f"{c}_{i}") for i in range(max(sizes[c] or 0, 0))]
+            else:
+                expanded.append(F.col(c))
+        data = data.select(*self.key_cols, *expanded)
+        columns = data.columns[len(self.key_cols) :]
+        rows = zscore(mean_impute(data, columns), columns)
         if len(columns) <= MOST_FEATURES:
             return rows, columns
         from pyspark.ml.feature import PCA, VectorAssembler
@@ -68,7 +83,7 @@ def kmeans(rows: DataFrame, keys: list[str], columns: list[str], k: int, seed: i
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(rows).select(*keys, "_v").persist()
+    vectors = checkpointed(VectorAssembler(inputCols=columns, outputCol="_v").transform(rows).select(*keys, "_v"))
     model = KMeans(k=n_clusters or k, seed=seed, featuresCol="_v", predictionCol="cluster", **options).fit(vectors)
     return model.transform(vectors).select(*keys, "cluster")
 

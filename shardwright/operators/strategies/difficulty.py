@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardwright.functions.ordering import ntile_of, value_ranks
 from shardwright.operators.base import Strategy, names
+from shardwright.operators.graph import checkpointed
 from shardwright.operators.strategies.stratified import StratifiedKFold
 
 
@@ -43,13 +46,18 @@ class DifficultySplit(Strategy):
     """
 
     hard, easy, prefix = "hard", "easy", "chunk"
+    FITS_AT_ONCE = 4
 
     def __init__(self, key_cols: list[str], label_col: str, feature_cols: list[str], n_partitions: int = 2, random_state: int = 42, threshold: float | None = None, estimator=None, cv: int = 5) -> None:
         super().__init__(key_cols, n_partitions, random_state)
         self.label_col, self.feature_cols, self.threshold, self.estimator, self.cv = label_col, list(feature_cols), threshold, estimator, cv
 
     def out_of_fold(self, data: DataFrame, classify: bool) -> DataFrame:
-        """Keys, ``label`` (index of the sorted class, or the number), ``prediction`` and, if there are any, ``probability``."""
+        """Keys, ``label`` (index of the sorted class, or the number), ``prediction`` and, if there are any, ``probability``.
+
+        A few folds are fitted at a time on one stored table; what the models say of their own
+        fold is stored too, so that ranking does not run them again.
+        """
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
         from pyspark.ml.functions import vector_to_array
@@ -70,17 +78,21 @@ class DifficultySplit(Strategy):
         else:
             rows = rows.withColumn("label", F.col("_y").cast("double"))
         filled = Imputer(inputCols=inputs, outputCols=inputs).fit(rows).transform(rows)
-        ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(filled).select(*self.key_cols, "fold", "label", "features").persist()
+        ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(filled).select(*self.key_cols, "fold", "label", "features")
+        ready = checkpointed(ready)
         model = self.estimator or (RandomForestClassifier if classify else RandomForestRegressor)(numTrees=10, maxDepth=5, seed=self.random_state)
+        with ThreadPoolExecutor(min(self.cv, self.FITS_AT_ONCE)) as pool:
+            fitted = list(pool.map(lambda fold: model.fit(ready.where(F.col("fold") != fold)), range(self.cv)))
         found = None
-        for fold in range(self.cv):
-            out = model.fit(ready.where(F.col("fold") != fold)).transform(ready.where(F.col("fold") == fold))
+        for fold, one in enumerate(fitted):
+            out = one.transform(ready.where(F.col("fold") == fold))
             columns = [*self.key_cols, "label", "prediction"]
             if classify and "probability" in out.columns:
-                columns.append(vector_to_array("probability").alias("probability"))
+                vector = dict(out.dtypes)["probability"] == "vector"
+                columns.append((vector_to_array("probability") if vector else F.col("probability")).alias("probability"))
             out = out.select(*columns)
             found = out if found is None else found.unionByName(out)
-        return found
+        return checkpointed(found)
 
     def scores(self, data: DataFrame) -> DataFrame:
         """Keys and ``score``."""

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardwright.functions.ordering import order_key, ranks
 from shardwright.operators import binning
 from shardwright.operators.base import Strategy, names
-from shardwright.operators.quotas import draw_quotas
 from shardwright.operators.strategies.stratified import HierarchicalStratified
 
 
@@ -64,6 +62,3 @@ class RegressionBinning(RegressionStratified):
             return raw
         mapping = F.create_map(*[F.lit(x) for pair in merged.items() for x in pair])
         return F.element_at(mapping, raw)
-
-
-__all__ = ["RegressionBinning", "RegressionStratified", "draw_quotas", "order_key", "ranks"]

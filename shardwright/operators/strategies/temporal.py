@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardwright.functions.ordering import sliced_ranks
 from shardwright.operators.base import Strategy, names
 
 
@@ -14,8 +15,13 @@ class TemporalSplit(Strategy):
     ``sequential``: cut at the whole parts of ``n * i / n_splits``. ``sliding_window``: windows
     of ``window_size`` rows that follow each other (by default a series' rows // n_splits); only
     whole windows, the first ``n_splits`` of them. ``seasonal``: by hour modulo ``period``.
+
+    Time is cut at ``TIME_CELLS`` quantiles over all series, so a long series is ranked by many
+    tasks.
     """
 
+    TIME_CELLS = 256
+
     def __init__(self, key_cols: list[str], time_col: str = "timestamp", series_col: str = "series_id", n_splits: int = 4, method: str = "sequential", window_size: int | None = None, period: int = 24) -> None:
         super().__init__(key_cols, n_splits)
         if method not in ("sequential", "sliding_window", "seasonal"):
@@ -28,9 +34,14 @@ class TemporalSplit(Strategy):
         columns = [self.series_col, *[k for k in self.key_cols if k != self.series_col]]
         if self.method == "seasonal":
             return data.select(*columns, (F.hour(self.time_col) % self.period).alias("split"))
-        series = Window.partitionBy(self.series_col)
-        order = series.orderBy(F.col(self.time_col), *self.key_cols)
-        rows = data.select(*columns, (F.row_number().over(order) - 1).alias("_at"), F.count("*").over(series).alias("_n"))
+        shares = [i / self.TIME_CELLS for i in range(1, self.TIME_CELLS)]
+        # Microseconds of the time, which sort as it does.
+        at = F.unix_micros(F.col(self.time_col).cast("timestamp"))
+        cuts = sorted(set(data.agg(F.percentile_approx(at, shares)).first()[0] or []))
+        cell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < at)) if cuts else F.lit(0)
+        rows = data.select(*columns, F.col(self.time_col).alias("_time"), F.when(at.isNull(), -1).otherwise(cell).alias("_cell"))
+        rows = sliced_ranks(rows, [self.series_col], "_cell", ["_time", *self.key_cols])
+        rows = rows.select(*columns, F.col("rank").alias("_at"), F.col("total").alias("_n"))
         k = self.n_partitions
         if self.method == "sequential":
             # Cuts in doubles, step first, as a linear spacing computes them.

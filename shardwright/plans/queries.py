@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardwright.functions.ordering import order_key, ranks
 from shardwright.operators import binning, diagnostics, ensemble, features, metrics
-from shardwright.operators.resample import Balancer
+from shardwright.operators.centroid import NearestCentroid
 from shardwright.operators.strategies.balance import StratifiedBalanced
 from shardwright.operators.strategies.clustering import FeatureClustering, TSNEClustering
 from shardwright.operators.strategies.difficulty import DifficultySplit, UncertaintySplit, entropy, split_by_score
@@ -173,6 +172,21 @@ def multilabel_stratified(spark, sf_dir):
     return MultilabelStratified(["doc_id"], ["quality", "toxic"], 5).assign(read(spark, sf_dir, "labels"))
 
 
+@query(
+    """WITH v AS (SELECT 'quality=' || quality AS item FROM labels UNION ALL SELECT 'toxic=' || toxic FROM labels UNION ALL SELECT 'rows' FROM labels)
+    SELECT item, count(*) AS n, 5::BIGINT AS folds, true AS even FROM v GROUP BY item"""
+)
+def multilabel_shares(spark, sf_dir):
+    """Every label's rows over the folds: a fifth of them in each, to within one and a half rows."""
+    labels = read(spark, sf_dir, "labels")
+    dealt = multilabel_stratified(spark, sf_dir).join(labels, "doc_id")
+    items = F.explode(F.array(F.concat(F.lit("quality="), F.col("quality").cast("string")), F.concat(F.lit("toxic="), F.col("toxic").cast("string")), F.lit("rows")))
+    counts = dealt.select("partition", items.alias("item")).where("item IS NOT NULL").groupBy("item", "partition").agg(F.count("*").alias("c"))
+    gap = F.max(F.abs(F.col("c") - F.col("n") / 5))
+    sizes = counts.groupBy("item").agg(F.sum("c").alias("n"))
+    return counts.join(sizes, "item").groupBy("item", "n").agg(F.count("*").alias("folds"), (gap <= 1.5).alias("even"))
+
+
 # Time ---------------------------------------------------------------------------------------
 
 _SERIES = """WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
@@ -260,7 +274,24 @@ def bin_quantile_rule(spark, sf_dir):
     return _prices(spark, sf_dir, lambda o: binning.digitize("o_totalprice", binning.rule_edges(o, "o_totalprice", "quantile", 5)))
 
 
-@query()
+def _merge_sql(counts: str, least: str) -> str:
+    """CTEs that end in ``merged(bin, merged)``: small bins of ``counts(bin, n)`` merged from left to right."""
+    return f"""
+    steps AS (SELECT list(n ORDER BY bin) AS sizes, list([bin] ORDER BY bin) AS bins, 1::BIGINT AS pos, ({least})::BIGINT AS least FROM {counts}
+              UNION ALL
+              SELECT CASE WHEN small THEN sizes[:first - 1] || [sizes[first] + sizes[first + 1]] || sizes[first + 2:] ELSE sizes END,
+                     CASE WHEN small THEN bins[:first - 1] || [bins[first] || bins[first + 1]] || bins[first + 2:] ELSE bins END,
+                     CASE WHEN small THEN first ELSE pos + 1 END, least
+              FROM (SELECT *, sizes[pos] < least AS small, CASE WHEN pos > 1 AND (pos = len(sizes) OR sizes[pos - 1] <= sizes[pos + 1]) THEN pos - 1 ELSE pos END AS first
+                    FROM steps WHERE pos <= len(sizes) AND len(sizes) > 1)),
+    ended AS (SELECT bins FROM steps WHERE NOT (pos <= len(sizes) AND len(sizes) > 1)),
+    merged AS (SELECT unnest(bins[i]) AS bin, CAST(i - 1 AS INTEGER) AS merged FROM ended, (SELECT unnest(range(1, len(bins) + 1)) AS i FROM ended))"""
+
+
+@query(
+    f"""WITH RECURSIVE counts AS (SELECT c_nationkey AS bin, count(*) AS n FROM customer GROUP BY 1), {_merge_sql("counts", "sum(n) // 20")}
+    SELECT bin, merged, n FROM merged JOIN counts USING (bin)"""
+)
 def bin_merge(spark, sf_dir):
     """Sizes of nations, small ones merged into a neighbour."""
     data = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("bin"))
@@ -274,26 +305,43 @@ def regression_stratified(spark, sf_dir):
     return RegressionStratified(["o_orderkey"], "o_totalprice", 5).assign(read(spark, sf_dir, "orders"))
 
 
-@query()
+@query(
+    f"""WITH {_QCUT}, {_hier_sql('binned', 'o_orderkey', 'bin', 5, 1)}, per AS (SELECT 'chunk_' || fold AS partition, bin, count(*) AS n FROM folds GROUP BY ALL)
+    SELECT partition, bin, n, round(n / CAST(sum(n) OVER (PARTITION BY partition) AS DOUBLE), 9) AS share FROM per"""
+)
+def bin_distribution(spark, sf_dir):
+    folds = RegressionStratified(["o_orderkey"], "o_totalprice", 5).folds(read(spark, sf_dir, "orders"))
+    found = diagnostics.bin_distribution(folds.withColumn("partition", F.concat(F.lit("chunk_"), F.col("fold").cast("string"))))
+    return found.withColumn("share", F.round("share", 9))
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT min(p_retailprice) AS low, max(p_retailprice) AS high,
+    greatest(1, ceil((max(p_retailprice) - min(p_retailprice)) / (3.5 * stddev_samp(p_retailprice) / cbrt(count(*))))) AS bins FROM part),
+    edges AS (SELECT low + (high - low) * i / bins AS e FROM s, range(1, CAST(bins AS BIGINT)) t(i)),
+    raw AS (SELECT p_partkey, CAST((SELECT count(*) FROM edges WHERE e <= p_retailprice) AS INTEGER) AS bin FROM part),
+    counts AS (SELECT bin, count(*) AS n FROM raw GROUP BY 1), {_merge_sql("counts", "5")},
+    binned AS (SELECT p_partkey, merged AS bin FROM raw JOIN merged USING (bin)), {_hier_sql("binned", "p_partkey", "bin", 5, 1)}
+    SELECT 'chunk_' || fold AS partition, p_partkey FROM folds"""
+)
 def regression_binning(spark, sf_dir):
     return RegressionBinning(["p_partkey"], "p_retailprice", 5, bin_rule="scott").assign(read(spark, sf_dir, "part"))
 
 
 # Difficulty and uncertainty -----------------------------------------------------------------
 
-_PARTS = "(abs(embedding[{i}]::DOUBLE) + 0.01)"
-_TOTAL = " + ".join(_PARTS.format(i=i) for i in (1, 2, 3))
+#: A made-up distribution: the sizes of all coordinates of a vector, over their sum.
+_PARTS = "list_transform(embedding, lambda e: abs(e::DOUBLE) + 0.01)"
 _ENTROPY = (
-    f"WITH p AS (SELECT vec_id, [{', '.join(_PARTS.format(i=i) + f' / ({_TOTAL})' for i in (1, 2, 3))}] AS p FROM embeddings), "
-    "s AS (SELECT vec_id, round(-(p[1] * ln(p[1] + 1e-8) + p[2] * ln(p[2] + 1e-8) + p[3] * ln(p[3] + 1e-8)) / ln(3), 8) AS score FROM p)"
+    f"WITH a AS (SELECT vec_id, {_PARTS} AS a FROM embeddings), p AS (SELECT vec_id, list_transform(a, lambda v: v / list_sum(a)) AS p FROM a), "
+    "s AS (SELECT vec_id, round(-list_sum(list_transform(p, lambda v: v * ln(v + 1e-8))) / ln(len(p)), 8) AS score FROM p)"
 )
 
 
 def _probabilities(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings")
-    parts = [F.abs(F.get("embedding", F.lit(i)).cast("double")) + 0.01 for i in range(3)]
-    total = parts[0] + parts[1] + parts[2]
-    return rows.select("vec_id", "label", F.array(*[p / total for p in parts]).alias("probability"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("_a", F.transform("embedding", lambda e: F.abs(e.cast("double")) + 0.01))
+    total = F.aggregate("_a", F.lit(0.0), lambda s, v: s + v)
+    return rows.select("vec_id", "label", F.transform("_a", lambda v: v / total).alias("probability"))
 
 
 @query(f"{_ENTROPY} SELECT vec_id, round(score, 6) AS score FROM s")
@@ -327,14 +375,47 @@ def difficulty_rank(spark, sf_dir):
     return split_by_score(_price_error(spark, sf_dir), ["o_orderkey"], "score", 4, None, "hard", "easy", "chunk")
 
 
-def _wide(spark, sf_dir, width=64):
+def _wide(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
     return rows.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
 
 
-@query()
+def _labelled(spark, sf_dir):
+    wide = _wide(spark, sf_dir).withColumn("label", F.col("label").cast("string"))
+    return wide, [c for c in wide.columns if c.startswith("e")]
+
+
+#: Out-of-fold probabilities of the nearest centroid over whole vectors.
+_CENTROID = """counts AS (SELECT label::VARCHAR AS y, count(*) AS c FROM embeddings GROUP BY 1),
+    offsets AS (SELECT y, sum(c) OVER (ORDER BY y) - c AS off, dense_rank() OVER (ORDER BY y) - 1 AS place FROM counts),
+    dealt AS (SELECT vec_id, y, place, (off + row_number() OVER (PARTITION BY y ORDER BY md5('42:' || vec_id), vec_id) - 1) % 5 AS fold
+              FROM (SELECT vec_id, label::VARCHAR AS y FROM embeddings) JOIN offsets USING (y)),
+    points AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    sums AS MATERIALIZED (SELECT fold, place, i, sum(x) AS sx, count(*) AS n FROM points JOIN dealt USING (vec_id) GROUP BY ALL),
+    centres AS MATERIALIZED (SELECT f.fold, place, i, sum(sx) / sum(n) AS m FROM sums s JOIN (SELECT DISTINCT fold FROM dealt) f ON s.fold <> f.fold GROUP BY ALL),
+    far AS MATERIALIZED (SELECT d.vec_id, d.place AS own, c.place, sum((x - m) * (x - m)) AS d2 FROM dealt d JOIN points USING (vec_id) JOIN centres c USING (fold, i) GROUP BY ALL),
+    near AS (SELECT vec_id, own, place, exp(min(d2) OVER (PARTITION BY vec_id) - d2) AS e FROM far),
+    p AS (SELECT vec_id, own, place, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM near)"""
+
+
+@query(f"WITH {_CENTROID} SELECT CASE WHEN 1 - p > 0.9 THEN 'hard' ELSE 'easy' END AS partition, vec_id FROM p WHERE place = own")
 def difficulty_model(spark, sf_dir):
-    return DifficultySplit(["vec_id"], "label", [f"e{i}" for i in range(8)], threshold=0.5).assign(_wide(spark, sf_dir, 8).withColumn("label", F.col("label").cast("string")))
+    data, columns = _labelled(spark, sf_dir)
+    return DifficultySplit(["vec_id"], "label", columns, threshold=0.9, estimator=NearestCentroid()).assign(data)
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y, ntile(5) OVER (ORDER BY p_partkey) AS fold FROM part),
+    m AS (SELECT f.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM r JOIN (SELECT DISTINCT fold FROM r) f ON r.fold <> f.fold GROUP BY f.fold),
+    e AS (SELECT p_partkey, abs(y - (a * x + b)) AS e FROM r JOIN m USING (fold))
+    SELECT 'chunk_' || (ntile(3) OVER (ORDER BY e / ((SELECT max(e) FROM e) + 1e-8), p_partkey) - 1) AS partition, p_partkey FROM e"""
+)
+def difficulty_linear(spark, sf_dir):
+    from pyspark.ml.regression import LinearRegression
+
+    line = LinearRegression(solver="normal", regParam=0.0, standardization=False)
+    return DifficultySplit(["p_partkey"], "p_retailprice", ["p_size"], 3, estimator=line).assign(read(spark, sf_dir, "part"))
 
 
 @query()
@@ -342,9 +423,20 @@ def difficulty_regression(spark, sf_dir):
     return DifficultySplit(["p_partkey"], "p_retailprice", ["p_size", "p_partkey"], 3).assign(read(spark, sf_dir, "part"))
 
 
-@query()
+@query(
+    f"""WITH {_CENTROID}, s AS (SELECT vec_id, -sum(p * ln(p + 1e-8)) / ln(count(*)) AS score FROM p GROUP BY vec_id)
+    SELECT 'uncertainty_level_' || (ntile(3) OVER (ORDER BY score, vec_id) - 1) AS partition, vec_id FROM s"""
+)
 def uncertainty_model(spark, sf_dir):
-    return UncertaintySplit(["vec_id"], "label", [f"e{i}" for i in range(8)], 3).assign(_wide(spark, sf_dir, 8).withColumn("label", F.col("label").cast("string")))
+    data, columns = _labelled(spark, sf_dir)
+    return UncertaintySplit(["vec_id"], "label", columns, 3, estimator=NearestCentroid()).assign(data)
+
+
+@query()
+def difficulty_forest(spark, sf_dir):
+    """The default model, a random forest, over whole vectors."""
+    data, columns = _labelled(spark, sf_dir)
+    return DifficultySplit(["vec_id"], "label", columns, 3).assign(data)
 
 
 # Balance ------------------------------------------------------------------------------------
@@ -352,35 +444,34 @@ def uncertainty_model(spark, sf_dir):
 
 def _two_classes(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    point = F.array(*[F.get("embedding", F.lit(i)).cast("double") for i in range(4)])
+    point = F.transform("embedding", lambda e: e.cast("double"))
     return rows.select("vec_id", F.when(F.col("label") == 0, 1).otherwise(0).alias("y"), point.alias("features"))
 
 
-_TWO = """two AS (SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y,
-      [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS x FROM embeddings),
+_TWO = """two AS (SELECT vec_id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y, embedding::DOUBLE[] AS x FROM embeddings),
     class_counts AS (SELECT y, count(*) AS c FROM two GROUP BY y),
     class_offsets AS (SELECT y, sum(c) OVER (ORDER BY y) - c AS off FROM class_counts),
-    base AS (SELECT 'partition_' || CAST((off + row_number() OVER (PARTITION BY y ORDER BY md5('42:' || vec_id), vec_id) - 1) % 2 AS INTEGER) AS partition,
+    base AS MATERIALIZED (SELECT 'partition_' || CAST((off + row_number() OVER (PARTITION BY y ORDER BY md5('42:' || vec_id), vec_id) - 1) % 2 AS INTEGER) AS partition,
                     vec_id, y, x, 'k:' || vec_id AS id FROM two JOIN class_offsets USING (y)),
     sizes AS (SELECT partition, y, count(*) AS n FROM base GROUP BY ALL),
     span AS (SELECT partition, y, n, min(n) OVER (PARTITION BY partition) AS least, max(n) OVER (PARTITION BY partition) AS most FROM sizes)"""
 
 
 def _d2(a: str, b: str) -> str:
-    return " + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(1, 5))
+    return f"list_distance({a}, {b})"
 
 
 #: ``wanted(partition, y, vec_id, copy)`` comes before; picks a neighbour of the class and a place between.
 _MADE = f"""
-    near_own AS (SELECT a.partition, a.y, a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.partition, a.y, a.vec_id ORDER BY {_d2("a.x", "b.x")}, b.vec_id) AS place
+    near_own AS MATERIALIZED (SELECT a.partition, a.y, a.vec_id, b.vec_id AS other, row_number() OVER (PARTITION BY a.partition, a.y, a.vec_id ORDER BY {_d2("a.x", "b.x")}, b.vec_id) AS place
                  FROM base a JOIN base b ON a.partition = b.partition AND a.y = b.y AND a.vec_id <> b.vec_id),
     picks AS (SELECT w.*, CAST('0x' || substr(md5('42:' || copy || ':' || vec_id), 9, 8) AS BIGINT) % least({{k}}, n - 1) + 1 AS place,
                      CAST('0x' || substr(md5('42:' || copy || ':' || vec_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
               FROM wanted w JOIN span USING (partition, y)),
-    made AS (SELECT p.partition, p.y, list_transform(range(1, 5), lambda i: a.x[i] + p.u * (b.x[i] - a.x[i])) AS x, 's' || row_number() OVER (ORDER BY p.partition, p.y, p.vec_id, copy) AS id
+    made AS MATERIALIZED (SELECT p.partition, p.y, list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] + p.u * (b.x[i] - a.x[i])) AS x, 's' || row_number() OVER (ORDER BY p.partition, p.y, p.vec_id, copy) AS id
              FROM picks p JOIN near_own o ON p.partition = o.partition AND p.y = o.y AND p.vec_id = o.vec_id AND p.place = o.place
              JOIN base a ON a.vec_id = p.vec_id JOIN base b ON b.vec_id = o.other),
-    filled AS (SELECT partition, vec_id, y, x, id, false AS synthetic FROM base UNION ALL SELECT partition, NULL, y, x, id, true FROM made)"""
+    filled AS MATERIALIZED (SELECT partition, vec_id, y, x, id, false AS synthetic FROM base UNION ALL SELECT partition, NULL, y, x, id, true FROM made)"""
 
 _SMOTE = (
     """
@@ -391,7 +482,7 @@ _SMOTE = (
 
 
 def _near_all(rows: str, k: int) -> str:
-    return f"""near_all AS (SELECT * FROM (SELECT a.partition, a.id, a.y, b.id AS other, b.y AS other_y,
+    return f"""near_all AS MATERIALIZED (SELECT * FROM (SELECT a.partition, a.id, a.y, b.id AS other, b.y AS other_y,
       row_number() OVER (PARTITION BY a.partition, a.id ORDER BY {_d2("a.x", "b.x")}, b.id) AS place
       FROM {rows} a JOIN {rows} b ON a.partition = b.partition AND a.id <> b.id) WHERE place <= {k})"""
 
@@ -405,19 +496,19 @@ _ADASYN = (
     wanted AS (SELECT partition, y, vec_id, unnest(range(CAST(floor(r / total * lack + 0.5) AS BIGINT))) AS copy FROM need WHERE total > 0),"""
     + _MADE.replace("{k}", "5")
 )
-_OUT = "SELECT partition, coalesce(vec_id, -1) AS vec_id, y, round(x[1], 6) AS x1, round(x[4], 6) AS x4, synthetic FROM"
+_OUT = "SELECT partition, coalesce(vec_id, -1) AS vec_id, y, round(x[1], 6) AS x1, round(list_sum(x), 6) AS total, synthetic FROM"
 _MINORITY = "minority AS (SELECT partition, y FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY n, y) AS r FROM sizes) WHERE r = 1)"
 
 
 def _balanced(spark, sf_dir, method):
     found = StratifiedBalanced(["vec_id"], "y", 2, balance_method=method).materialize(_two_classes(spark, sf_dir))
     # A synthetic row has no key; -1 stands for it here.
-    return found.select("partition", F.coalesce("vec_id", F.lit(-1).cast("long")).alias("vec_id"), "y", F.round(F.get("features", F.lit(0)), 6).alias("x1"), F.round(F.get("features", F.lit(3)), 6).alias("x4"), "synthetic")
+    return found.select("partition", F.coalesce("vec_id", F.lit(-1).cast("long")).alias("vec_id"), "y", F.round(F.get("features", F.lit(0)), 6).alias("x1"), F.round(F.aggregate("features", F.lit(0.0), lambda s, v: s + v), 6).alias("total"), "synthetic")
 
 
 @query(
     f"""WITH {_TWO}, r AS (SELECT b.*, row_number() OVER (PARTITION BY partition, y ORDER BY md5('42:' || vec_id), vec_id) AS rn, least FROM base b JOIN span USING (partition, y))
-    SELECT partition, vec_id, y, round(x[1], 6) AS x1, round(x[4], 6) AS x4, false AS synthetic FROM r WHERE rn <= least"""
+    SELECT partition, vec_id, y, round(x[1], 6) AS x1, round(list_sum(x), 6) AS total, false AS synthetic FROM r WHERE rn <= least"""
 )
 def balance_rus(spark, sf_dir):
     return _balanced(spark, sf_dir, "rus")
@@ -498,10 +589,20 @@ def label_encode(spark, sf_dir):
 
 @query()
 def feature_kmeans(spark, sf_dir):
-    return FeatureClustering(["vec_id"], 5, feature_cols=[f"e{i}" for i in range(64)]).assign(_wide(spark, sf_dir))
+    return FeatureClustering(["vec_id"], 5, feature_cols=["embedding"]).assign(read(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE z AS MATERIALIZED (SELECT c_custkey AS k, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS a,
+                    (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS b FROM customer),
+    near AS MATERIALIZED (SELECT u.k AS u, v.k AS v, (u.a - v.a) * (u.a - v.a) + (u.b - v.b) * (u.b - v.b) AS d2 FROM z u JOIN z v
+             ON abs(u.a - v.a) <= 0.15 AND abs(u.b - v.b) <= 0.15 AND (u.a - v.a) * (u.a - v.a) + (u.b - v.b) * (u.b - v.b) <= 0.15 * 0.15),
+    core AS MATERIALIZED (SELECT u AS k FROM near GROUP BY u HAVING count(*) >= 4),
+    reach AS (SELECT k AS u, k AS v FROM core UNION SELECT r.u, n.v FROM reach r JOIN near n ON r.v = n.u WHERE n.v IN (SELECT k FROM core)),
+    found AS (SELECT u AS k, min(v) AS root FROM reach GROUP BY u),
+    owner AS (SELECT n.u AS k, arg_min(f.root, {'d': n.d2, 'v': n.v}) AS root FROM near n JOIN found f ON n.v = f.k GROUP BY n.u)
+    SELECT 'chunk_' || (dense_rank() OVER (ORDER BY root) - 1) AS partition, k AS c_custkey FROM owner"""
+)
 def feature_dbscan(spark, sf_dir):
     data = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
     return FeatureClustering(["c_custkey"], method="dbscan", feature_cols=["c_acctbal", "c_nationkey"], eps=0.15, min_samples=4).assign(data)
@@ -509,7 +610,7 @@ def feature_dbscan(spark, sf_dir):
 
 @query()
 def feature_tsne(spark, sf_dir):
-    return TSNEClustering(["vec_id"], 5, feature_cols=[f"e{i}" for i in range(64)]).assign(_wide(spark, sf_dir))
+    return TSNEClustering(["vec_id"], 5, feature_cols=["embedding"]).assign(read(spark, sf_dir, "embeddings"))
 
 
 # Metrics, reports on predictions, votes -----------------------------------------------------
@@ -545,13 +646,9 @@ def metrics_regression(spark, sf_dir):
     return found.select(F.round("mse", 2).alias("mse"), F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
 
 
-@query(
-    """WITH p AS (SELECT vec_id, (abs(embedding[1]::DOUBLE) + 0.01) / (abs(embedding[1]::DOUBLE) + abs(embedding[2]::DOUBLE) + 0.02) AS p FROM embeddings)
-    SELECT round(-avg(ln(p)), 6) AS log_loss FROM p"""
-)
+@query(f"WITH a AS (SELECT label, {_PARTS} AS a FROM embeddings) SELECT round(-avg(ln(a[label + 1] / list_sum(a))), 6) AS log_loss FROM a")
 def metrics_log_loss(spark, sf_dir):
-    a, b = (F.abs(F.get("embedding", F.lit(i)).cast("double")) for i in (0, 1))
-    rows = read(spark, sf_dir, "embeddings").select(((a + 0.01) / (a + b + 0.02)).alias("p"))
+    rows = _probabilities(spark, sf_dir).select(F.get("probability", F.col("label")).alias("p"))
     return metrics.log_loss(rows, "p").select(F.round("log_loss", 6).alias("log_loss"))
 
 
@@ -607,21 +704,39 @@ def ensemble_weighted_mean(spark, sf_dir):
     return ensemble.mean_vote(rows, ["o_orderkey"], weight="weight").withColumn("prediction", F.round("prediction", 6))
 
 
+#: Three made-up models: the distribution itself, backwards, and sharpened.
 _MODELS = " UNION ALL ".join(
-    f"SELECT vec_id, {w}::DOUBLE AS w, abs(embedding[{a}]::DOUBLE) AS p0, abs(embedding[{a + 1}]::DOUBLE) AS p1, abs(embedding[{a + 2}]::DOUBLE) AS p2 FROM embeddings" for w, a in ((0.5, 1), (0.8, 4), (0.3, 7))
+    f"SELECT vec_id, {w}::DOUBLE AS w, {p} AS a FROM (SELECT vec_id, {_PARTS} AS a FROM embeddings)"
+    for w, p in ((0.5, "a"), (0.8, "list_reverse(a)"), (0.3, "list_transform(a, lambda v: v * v)"))
 )
 
 
 @query(
-    f"""WITH m AS ({_MODELS}), a AS (SELECT vec_id, sum(p0 * w) / sum(w) AS p0, sum(p1 * w) / sum(w) AS p1, sum(p2 * w) / sum(w) AS p2 FROM m GROUP BY vec_id)
-    SELECT vec_id, CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS prediction, round(p0, 6) AS p0 FROM a"""
+    f"""WITH m AS ({_MODELS}), e AS (SELECT vec_id, w, generate_subscripts(a, 1) AS c, unnest(a) AS p FROM m),
+    t AS (SELECT vec_id, c, sum(p * w) / sum(w) AS p FROM e GROUP BY ALL)
+    SELECT vec_id, CAST(arg_max(c, {{'p': round(p, 9), 'c': -c}}) - 1 AS INTEGER) AS prediction, round(sum(p), 6) AS total FROM t GROUP BY vec_id"""
 )
 def ensemble_weighted(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings")
-    one = lambda w, a: F.struct(F.lit(w).alias("weight"), F.array(*[F.abs(F.get("embedding", F.lit(a + i)).cast("double")) for i in range(3)]).alias("probability"))
-    votes = rows.select("vec_id", F.inline(F.array(one(0.5, 0), one(0.8, 3), one(0.3, 6))))
-    found = ensemble.soft_vote(votes, ["vec_id"], 3, weight="weight")
-    return found.select("vec_id", "prediction", F.round(F.get("probability", F.lit(0)), 6).alias("p0"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("_a", F.transform("embedding", lambda e: F.abs(e.cast("double")) + 0.01))
+    one = lambda w, p: F.struct(F.lit(w).alias("weight"), p.alias("probability"))
+    votes = rows.select("vec_id", F.inline(F.array(one(0.5, F.col("_a")), one(0.8, F.reverse("_a")), one(0.3, F.transform("_a", lambda v: v * v)))))
+    classes = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    found = ensemble.soft_vote(votes, ["vec_id"], classes, weight="weight")
+    return found.select("vec_id", "prediction", F.round(F.aggregate("probability", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
-__all__ = ["Balancer", "QUERIES", "SQL", "order_key", "ranks"]
+@query(
+    f"""WITH r AS (SELECT partition, o_custkey::DOUBLE AS x, o_totalprice AS y FROM ({_RANDOM})),
+    m AS (SELECT partition, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM r GROUP BY partition)
+    SELECT o_orderkey, round(avg(a * o_custkey + b), 2) AS prediction FROM orders, m GROUP BY o_orderkey"""
+)
+def ensemble_trained(spark, sf_dir):
+    """A line fitted on every partition; their mean says the price of every order."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    assemble = VectorAssembler(inputCols=["o_custkey"], outputCol="features")
+    ready = assemble.transform(read(spark, sf_dir, "orders").withColumn("label", F.col("o_totalprice")))
+    partitioned = RandomSplit(["o_orderkey"], 5).materialize(ready)
+    fitted = ensemble.PartitionEnsemble(lambda: LinearRegression(solver="normal", regParam=0.0, standardization=False), "regression").fit(partitioned)
+    return fitted.predict(ready, ["o_orderkey"]).select("o_orderkey", F.round("prediction", 2).alias("prediction"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from shardwright.operators.ensemble import hard_vote, mean_vote, soft_vote
@@ -79,7 +78,6 @@ def test_experiment(spark, tmp_path):
     assert found["toy"]["accuracy"] > 0.8 and found["toy"]["n_models"] == 2 and found["toy"]["training_time"] > 0
     assert found["toy"]["baseline_accuracy"] > 0.8 and found["toy"]["baseline_n_models"] == 1
     assert tracker.runs[0]["metrics"]["accuracy"] == found["toy"]["accuracy"]
-    assert LogisticRegression is not None
 
 
 def test_stream_assignment_equals_batch(spark, tmp_path):

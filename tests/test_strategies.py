@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shardwright.functions.ordering import ntile_of, order_key, ranks, value_ranks
+from shardwright.functions.ordering import exact_quantiles, ntile_of, order_key, ranks, value_ranks
 from shardwright.operators import binning
 from shardwright.operators.features import mean_impute, zscore
 from shardwright.operators.knn import nearest, squared_distances
@@ -21,6 +21,7 @@ from shardwright.operators.strategies.random import RandomSplit
 from shardwright.operators.strategies.regression import RegressionBinning, RegressionStratified
 from shardwright.operators.strategies.stratified import HierarchicalStratified, MultilabelStratified, StratifiedKFold, TrainTestSplit
 from shardwright.operators.strategies.temporal import TemporalSplit
+from shardwright.plans.registry import AdaptiveSampler
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,25 @@ def test_value_ranks(spark):
     assert expected["rank"].tolist() == list(range(300))
 
 
+@pytest.mark.parametrize("value", ["1.0", "id % 2", "CASE WHEN id % 10 > 0 THEN 3.0 ELSE id END", "CAST(NULL AS DOUBLE)"])
+def test_value_ranks_of_ties_spread_over_tasks(spark, value):
+    data = spark.range(2000).select((F.col("id") * 7 % 2000).alias("id")).withColumn("v", F.expr(value).cast("double"))
+    got = value_ranks(data, "v", ["id"], cells=20)
+    listed = got.toPandas().sort_values(["v", "id"], na_position="first")
+    assert listed["rank"].tolist() == list(range(2000)) and set(listed["total"]) == {2000}
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=900), np.zeros(300), [np.nan] * 0])
+    data = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 5, "v double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    expected = np.quantile(values, shares)
+    for rows_a_cell in (10_000, 100, 7):
+        assert np.allclose(exact_quantiles(data, "v", shares, rows_a_cell), expected)
+    assert exact_quantiles(data.limit(0), "v", shares) == []
+
+
 @pytest.mark.parametrize("n,k", [(0, 3), (2, 5), (10, 3), (9, 3), (11, 4)])
 def test_ntile_is_array_split(spark, n, k):
     data = spark.range(n).select("id", ntile_of(F.col("id"), F.lit(n).cast("long"), k).alias("t"))
@@ -77,6 +97,12 @@ def test_materialize_keeps_columns_and_null_keys(spark):
     assert got.columns == ["partition", "id", "v"] and got.count() == 2
 
 
+def test_materialize_refuses_to_lose_a_column(spark):
+    data = spark.createDataFrame([(1, "mine")], "id long, Partition string")
+    with pytest.raises(ValueError, match="already has"):
+        RandomSplit(["id"], 2).materialize(data)
+
+
 def test_kfold_is_disjoint_and_even(rows):
     got = StratifiedKFold(["id"], "y", 5).folds(rows).toPandas()
     assert sorted(got["id"]) == list(range(90))
@@ -158,8 +184,11 @@ def test_bins_match_pandas_and_numpy(spark):
 def test_bins_of_repeated_and_missing_values(spark):
     data = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (2.0,), (None,)], "v double")
     got = data.select(binning.bin_by_edges("v", binning.quantile_edges(data, "v", 4)).alias("b")).collect()
-    assert [r["b"] for r in got] == [0, 0, 0, 0, None] or got[-1]["b"] is None
+    assert [r["b"] for r in got] == [0, 0, 0, 1, None]
     assert binning.rule_edges(data.limit(0), "v", "scott") == []
+    stretched = spark.range(1000).select(F.when(F.col("id") == 0, 1e9).otherwise(F.col("id") * 1.0).alias("v"))
+    with pytest.raises(ValueError, match="bins"):
+        binning.rule_edges(stretched, "v", "freedman_diaconis")
 
 
 def test_merge_small_bins():
@@ -194,7 +223,51 @@ def test_balanced_counts(spark, method):
 def test_balance_refuses_unknown_methods():
     with pytest.raises(ValueError):
         StratifiedBalanced(["id"], "y", balance_method="other")
-    assert Balancer([], "id", "y", "x").seed == 42
+
+
+def _plain_enn(points, labels, k):
+    """Rows that disagree with one of their nearest other rows, row by row."""
+    lost = set()
+    for i, p in enumerate(points):
+        order = sorted((float(((p - q) ** 2).sum()), j) for j, q in enumerate(points) if j != i)[:k]
+        if any(labels[j] != labels[i] for _, j in order):
+            lost.add(i)
+    return lost
+
+
+@pytest.mark.parametrize("method", ["random_under_sample", "smote", "adasyn", "edited_neighbours", "tomek_links", "smote_enn", "smote_tomek"])
+def test_balancing_with_null_labels_and_equal_points(spark, method):
+    points = np.random.default_rng(4).normal(size=(40, 2)).round(1)
+    points[30:] = points[0]
+    labels = [None if i % 5 == 0 else i % 2 for i in range(40)]
+    data = spark.createDataFrame([(i, "g", y, p.tolist()) for i, (y, p) in enumerate(zip(labels, points))], "id long, g string, y int, x array<double>")
+    got = getattr(Balancer(["g"], "id", "y", "x"), method)(data).toPandas()
+    assert got.columns.tolist() == ["g", "id", "y", "x", "synthetic"]
+    real = got[~got["synthetic"]]
+    assert real["id"].is_unique and set(real["id"]) <= set(range(40))
+    counts = Counter("none" if y != y or y is None else int(y) for y in got["y"])
+    if method == "random_under_sample":
+        assert counts == {"none": 8, 0: 8, 1: 8}
+    if method == "smote":
+        assert counts == {"none": 16, 0: 16, 1: 16}
+    if method == "edited_neighbours":
+        assert set(range(40)) - set(real["id"]) == {i for i in _plain_enn(points, labels, 3) if labels[i] is not None}
+
+
+def test_equal_synthetic_points_are_rows_of_their_own(spark):
+    """All rows of the smaller class lie in one point: the made ones are each other's nearest and none may vanish as itself."""
+    rows = [(i, "g", 0, [5.0 + i, 0.0]) for i in range(12)] + [(100 + i, "g", 1, [0.0, 0.0]) for i in range(3)]
+    got = Balancer(["g"], "id", "y", "x").smote_enn(spark.createDataFrame(rows, "id long, g string, y int, x array<double>")).toPandas()
+    assert Counter(got["y"]) == {0: 12, 1: 12} and got["synthetic"].sum() == 9
+
+
+def test_neighbours_beyond_the_limit_are_refused(spark, monkeypatch):
+    data = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "id long, x array<double>")
+    with pytest.raises(ValueError, match="neighbours"):
+        nearest(data, [], "id", "x", 1001)
+    monkeypatch.setattr("shardwright.operators.knn.MOST_ROWS", 10)
+    with pytest.raises(ValueError, match="rows"):
+        nearest(data, [], "id", "x", 2)
 
 
 def test_features(spark):
@@ -217,6 +290,21 @@ def test_clusters_find_blobs(spark, method, options):
     assert got.groupby(blob)["partition"].nunique().eq(1).all() and len(got) == 90
 
 
+def test_arrays_are_features(spark):
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(c, 0.1, size=(30, 10)) for c in (0, 5)])
+    rows = [(i, [None if i == 3 and j == 2 else float(v) for j, v in enumerate(p)]) for i, p in enumerate(points)]
+    data = spark.createDataFrame(rows, "id long, e array<double>")
+    for strategy in (FeatureClustering(["id"], 2), AdaptiveSampler().auto_select_strategy(data, ["id"]), TSNEClustering(["id"], 2, feature_cols=["e"])):
+        strategy.n_partitions = 2
+        got = strategy.assign(data).toPandas()
+        assert len(got) == 60 and got.groupby(got["id"] // 30)["partition"].nunique().eq(1).all() and got["partition"].nunique() == 2
+    wide = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(80)], "id long, e array<float>")
+    assert FeatureClustering(["id"], 3).assign(wide).count() == 80
+    with pytest.raises(ValueError, match="numeric"):
+        FeatureClustering(["id"]).assign(spark.createDataFrame([(1, ["a"])], "id long, e array<string>"))
+
+
 def test_tsne_and_its_limit(spark):
     assert tsne(np.random.default_rng(0).normal(size=(40, 4)), rounds=50).shape == (40, 2)
     data = _blobs(spark).where("id < 999")
@@ -236,3 +324,35 @@ def test_difficulty_and_uncertainty(spark):
     assert is_classification(data, "y") and not is_classification(data, "f")
     with pytest.raises(ValueError):
         UncertaintySplit(["id"], "f", ["id"]).scores(data)
+
+
+def test_difficulty_without_probabilities(spark):
+    """A model that gives none scores 0 or 1."""
+    from pyspark.ml.classification import LinearSVC
+
+    data = spark.range(100).select("id", (F.col("id") % 2).cast("string").alias("y"), F.when(F.col("id") == 7, 0.0).otherwise(F.col("id") % 2).alias("f"))
+    scores = {r["id"]: r["score"] for r in DifficultySplit(["id"], "y", ["f"], estimator=LinearSVC(maxIter=20)).scores(data).collect()}
+    assert scores.pop(7) == 1.0 and set(scores.values()) == {0.0}
+
+
+def test_nearest_centroid(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from shardwright.operators.centroid import NearestCentroid
+
+    rows = [(0.0, Vectors.dense(0, 0)), (0.0, Vectors.dense(2, 0)), (2.0, Vectors.dense(5, 0))]
+    rows = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+    found = NearestCentroid().fit(rows).transform(rows).collect()
+    assert [r["prediction"] for r in found] == [0.0, 0.0, 2.0]
+    near, far = np.exp(-1), np.exp(-9)
+    assert found[1]["probability"] == pytest.approx([near / (near + far), 0.0, far / (near + far)])
+
+
+def test_long_series_are_cut_in_time(spark):
+    """One series with many equal times and nulls: the cut into pieces changes nothing."""
+    at = F.when(F.col("id") % 50 == 0, None).otherwise(F.timestamp_add("HOUR", (F.col("id") % 7).cast("int"), F.lit("2023-01-01").cast("timestamp_ntz")))
+    data = spark.range(300).select("id", F.lit(1).alias("series_id"), at.alias("timestamp"))
+    got = TemporalSplit(["id"], n_splits=3).assign(data).toPandas()
+    order = sorted(((r["timestamp"] is not None, r["timestamp"], r["id"]) if r["timestamp"] else (False, None, r["id"]) for r in data.collect()), key=lambda x: (x[0], x[1] or 0, x[2]) if x[0] else (x[0], 0, x[2]))
+    expected = {key: f"split_{i // 100}" for i, (_, _, key) in enumerate(order)}
+    assert dict(zip(got["id"], got["partition"])) == expected
