@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,27 @@ class ExperimentTracker:
         return f"{name}-v{number}"
 
 
+class FileTracker(ExperimentTracker):
+    """Also writes every run that has ended as a line of JSON to a file, which later runs go on with."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.path = Path(path)
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+
+    @contextmanager
+    def run(self, name: str, params: dict | None = None):
+        began = time.time()
+        with super().run(name, params) as record:
+            yield record
+        with self.path.open("a") as out:
+            out.write(json.dumps(record | {"seconds": round(time.time() - began, 3)}, default=str) + "\n")
+
+    def history(self) -> list[dict]:
+        """All runs of the file, oldest first."""
+        return [json.loads(line) for line in self.path.read_text().splitlines()] if self.path.exists() else []
+
+
 def _estimators(task: str) -> dict[str, Callable]:
     from pyspark.ml import classification as c
     from pyspark.ml import regression as r
@@ -54,17 +77,21 @@ def _estimators(task: str) -> dict[str, Callable]:
 class Experiment:
     """The whole loop over the datasets of a configuration.
 
-    With ``baseline`` one model is also trained on all training rows, and its metrics are
-    reported beside those of the ensemble.
+    Every strategy is run with every model. The metrics of a dataset lie under
+    ``strategy+model``; those of the first pair also stand for the dataset itself. Once the time
+    budget is spent no further pair is begun (the first pair of a dataset always is), and
+    ``skipped`` names the rest. With ``baseline`` the model is also trained on all training rows,
+    and its metrics are reported beside those of the ensemble.
     """
 
     def __init__(self, spark: SparkSession, catalogue: Catalogue, config: ExperimentConfig, out_dir: str | None = None, tracker: ExperimentTracker | None = None, baseline: bool = False) -> None:
-        self.baseline = baseline
+        self.baseline, self.until = baseline, float("inf")
         self.spark, self.catalogue, self.config, self.out_dir = spark, catalogue, config, out_dir
         self.tracker = tracker or ExperimentTracker()
 
     def run_full_benchmark(self) -> dict:
         results = {}
+        self.until = time.time() + 60 * self.config.time_budget_minutes
         for spec in self.config.datasets:
             with self.tracker.run(spec.name, {"time_budget_minutes": self.config.time_budget_minutes}) as record:
                 results[spec.name] = self.run_dataset(spec)
@@ -83,13 +110,22 @@ class Experiment:
         parts = TrainTestSplit([key], dataset.target).materialize(data)
         train = parts.where("partition = 'train'").drop("partition")
         test = parts.where("partition = 'test'").drop("partition")
-        strategy = self.config.sampling_strategies[0]
-        chosen = SamplingStrategyFactory().fit_transform(strategy.name, train, self._options(strategy, key, dataset.target))
-        found = self._ensemble(dataset.task, dataset.target, key, chosen, test)
-        if self.baseline:
-            whole = self._ensemble(dataset.task, dataset.target, key, train.withColumn("partition", F.lit("all")), test)
-            found |= {f"baseline_{k}": v for k, v in whole.items()}
-        return found
+        results: dict = {}
+        skipped: list[str] = []
+        for strategy in self.config.sampling_strategies:
+            for model in self.config.automl_models:
+                name = f"{strategy.name}+{model.name}"
+                if results and time.time() > self.until:
+                    skipped.append(name)
+                    continue
+                chosen = SamplingStrategyFactory().fit_transform(strategy.name, train, self._options(strategy, key, dataset.target))
+                found = self._ensemble(dataset.task, dataset.target, key, chosen, test, model)
+                if self.baseline:
+                    whole = self._ensemble(dataset.task, dataset.target, key, train.withColumn("partition", F.lit("all")), test, model)
+                    found |= {f"baseline_{k}": v for k, v in whole.items()}
+                results = results or dict(found)
+                results[name] = found
+        return results | ({"skipped": skipped} if skipped else {})
 
     @staticmethod
     def _options(strategy: Spec, key: str, target: str) -> dict:
@@ -100,7 +136,7 @@ class Experiment:
             options.setdefault("target_col", target)
         return options
 
-    def _ensemble(self, task: str, target: str, key: str, partitioned: DataFrame, test: DataFrame) -> dict:
+    def _ensemble(self, task: str, target: str, key: str, partitioned: DataFrame, test: DataFrame, model: Spec) -> dict:
         from pyspark.ml.feature import Imputer, VectorAssembler
 
         began = time.time()
@@ -110,7 +146,6 @@ class Experiment:
         filled = imputer.fit(as_double(partitioned))
         assemble = VectorAssembler(inputCols=columns, outputCol="features")
         ready = lambda d: assemble.transform(filled.transform(as_double(d)))
-        model = self.config.automl_models[0]
         known = _estimators(task)
         if model.name not in known:
             raise ValueError(f"unknown model {model.name!r}; known: {', '.join(known)}")

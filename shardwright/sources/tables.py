@@ -62,3 +62,38 @@ class Catalogue:
             coded = label_encode(data, dataset.target, "_code")
             data = coded.drop(dataset.target).withColumnRenamed("_code", dataset.target)
         return data
+
+
+# Names, numbers at OpenML, and files of the public benchmark sets.
+OPENML_CLASSIFICATION = {"electricity": 151, "covertype": 1596, "adult": 1590, "numerai28.6": 23517, "bank-marketing": 1461}
+OPENML_REGRESSION = {"black friday": 531, "diabetes": 847, "california": 43905, "house_prices": 42705, "medical_charges": 42728}
+FILES = {
+    "covtype-normalized": ("classification", "class", "covtype-normalized.csv"),
+    "kddcup": ("classification", "label", "kddcup.csv"),
+    "airlines": ("regression", "DepDelay", "airlines_train_regression_10M.csv"),
+    "sf-police-incidents": ("classification", "ViolentCrime", "sf-police-incidents.csv"),
+}
+
+
+def public_catalogue(folder: str = "./dataset", fetch: Callable[[SparkSession, int], DataFrame] | None = None) -> Catalogue:
+    """The public benchmark sets by name: files of ``folder``, and OpenML sets by way of ``fetch``.
+
+    ``fetch`` takes the session and a set's number at OpenML and gives a table whose target is
+    named ``target``; without it these sets can be found but not loaded.
+    """
+
+    def loader(name: str, number: int) -> Callable[[SparkSession], DataFrame]:
+        def load(spark: SparkSession) -> DataFrame:
+            if fetch is None:
+                raise ValueError(f"{name!r} lies at OpenML (number {number}); give a function that fetches it")
+            return fetch(spark, number)
+
+        return load
+
+    found = Catalogue()
+    for task, sets in (("classification", OPENML_CLASSIFICATION), ("regression", OPENML_REGRESSION)):
+        for name, number in sets.items():
+            found.register(Dataset(name, "target", task, load=loader(name, number)))
+    for name, (task, target, file) in FILES.items():
+        found.register(Dataset(name, target, task, path=f"{folder}/{file}"), custom=True)
+    return found

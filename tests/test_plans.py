@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from shardwright.operators.ensemble import hard_vote, mean_vote, soft_vote
 from shardwright.plans.config import ExperimentConfigBuilder, coerce, parse_entity
 from shardwright.plans.registry import AdaptiveSampler, SamplingStrategyFactory
-from shardwright.plans.runner import Experiment, ExperimentTracker
+from shardwright.plans.runner import Experiment, FileTracker
 from shardwright.sources import synthetic
 from shardwright.sources.sinks import save_report, write_partitions
-from shardwright.sources.tables import Catalogue, Dataset, read_table
+from shardwright.sources.tables import Catalogue, Dataset, public_catalogue, read_table
 from shardwright.streaming import hash_partitions
 
 
@@ -73,11 +73,53 @@ def test_votes(spark):
 def test_experiment(spark, tmp_path):
     catalogue = Catalogue([Dataset("toy", "y", load=lambda s: synthetic.tabular(s, 300, 4))])
     config = ExperimentConfigBuilder().from_text("datasets: toy(key=id)\nsampling_strategies: random(n_partitions=2)\nautoml_models: logistic_regression")
-    tracker = ExperimentTracker()
+    tracker = FileTracker(str(tmp_path / "runs.jsonl"))
     found = Experiment(spark, catalogue, config, str(tmp_path), tracker, baseline=True).run_full_benchmark()
     assert found["toy"]["accuracy"] > 0.8 and found["toy"]["n_models"] == 2 and found["toy"]["training_time"] > 0
     assert found["toy"]["baseline_accuracy"] > 0.8 and found["toy"]["baseline_n_models"] == 1
     assert tracker.runs[0]["metrics"]["accuracy"] == found["toy"]["accuracy"]
+    assert FileTracker(str(tmp_path / "runs.jsonl")).history()[0]["metrics"] == tracker.runs[0]["metrics"]
+
+
+def test_experiment_runs_every_pair_within_its_budget(spark):
+    catalogue = Catalogue([Dataset("toy", "y", load=lambda s: synthetic.tabular(s, 200, 3))])
+    text = "datasets: toy(key=id)\nsampling_strategies: random(n_partitions=2), stratified_kfold(n_partitions=2)\nautoml_models: logistic_regression, decision_tree\ntime_budget_minutes: "
+    found = Experiment(spark, catalogue, ExperimentConfigBuilder().from_text(text + "10")).run_full_benchmark()["toy"]
+    pairs = {f"{s}+{m}" for s in ("random", "stratified_kfold") for m in ("logistic_regression", "decision_tree")}
+    assert {k for k in found if "+" in k} == pairs and found["accuracy"] == found["random+logistic_regression"]["accuracy"]
+    found = Experiment(spark, catalogue, ExperimentConfigBuilder().from_text(text + "0")).run_full_benchmark()["toy"]
+    assert {k for k in found if "+" in k} == {"random+logistic_regression"} and set(found["skipped"]) == pairs - {"random+logistic_regression"}
+
+
+def test_public_catalogue(spark):
+    known = public_catalogue(fetch=lambda s, number: s.createDataFrame([(number, "b"), (1, "a")], "x long, target string"))
+    assert "adult" in known.of_task("classification") and "california" in known.of_task("regression")
+    assert {r["x"]: r["target"] for r in known.load(spark, "adult").collect()} == {1590: 1, 1: 0}
+    assert known.find("airlines").target == "DepDelay"
+    with pytest.raises(ValueError, match="OpenML"):
+        public_catalogue().load(spark, "adult")
+
+
+def test_streams_take_what_was_frozen(spark, tmp_path):
+    """Bins, hours and clusters of a stream are those of the table."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from shardwright.operators.binning import quantile_edges
+    from shardwright.streaming import fitted_clusters, frozen_bins, seasonal
+
+    at = F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2023-01-01").cast("timestamp_ntz"))
+    data = spark.range(60).select("id", (F.col("id") * 1.5).alias("v"), at.alias("ts"))
+    data.write.parquet(str(tmp_path / "in"))
+    edges = quantile_edges(data, "v", 4)
+    assemble = VectorAssembler(inputCols=["v"], outputCol="features")
+    model = KMeans(k=3, seed=1).fit(assemble.transform(data))
+    for i, deal in enumerate((lambda d: frozen_bins(d, "v", edges), lambda d: seasonal(d, "ts"), lambda d: fitted_clusters(assemble.transform(d), model).drop("features"))):
+        stream = deal(spark.readStream.schema(data.schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("memory").queryName(f"frozen{i}").start()
+        query.processAllAvailable()
+        query.stop()
+        assert sorted(map(str, spark.sql(f"SELECT * FROM frozen{i}").collect())) == sorted(map(str, deal(data).collect()))
 
 
 def test_stream_assignment_equals_batch(spark, tmp_path):
