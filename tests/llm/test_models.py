@@ -201,3 +201,70 @@ def test_label_is_overruled():
     posterior, found = label_model(votes, label)
     assert ((posterior > 0.5) == truth).mean() > 0.995 > (label == truth).mean()
     assert found["label_rates"][0, 1] > 0.9 and found["label_rates"][0, 0] < 0.06
+
+
+def plain_grams(text, most=4):
+    """Counts of n-grams of letters, every run of other characters after a word being one blank, by slices of a string."""
+    from collections import Counter
+
+    line = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    line = "".join(w + " " for w in line.split())
+    found = Counter()
+    for n in range(1, most + 1):
+        for i in range(len(line) - n + 1):
+            gram = line[i : i + n]
+            if " " not in gram[1:-1] and gram != " ":
+                found[gram] += 1
+    return found
+
+
+def plain_feature(gram):
+    """The place of an n-gram, by whole numbers."""
+    h = 0
+    for c in gram:
+        h = (h * 0x100000001B3 + ord(c)) % 2**64
+    h = (h + len(gram)) % 2**64
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) % 2**64
+    return (h ^ h >> 31) >> 48
+
+
+def test_grams_and_document_frequencies_are_brute_force(spark):
+    from shardwright.llm.langid import document_frequencies
+
+    rng = random.Random(8)
+    texts = ["Hello, wörld! é  ü", "a", "ab c", "12 !?", "", None, "x1y2 z", sentence("cc", rng), sentence("aa", rng, 5000)]
+    got = {i: dict(zip(a.tolist(), b.tolist())) for i, a, b in text_counts([t or "" for t in texts])}
+    frequencies = {}
+    for i, text in enumerate(texts):
+        expected = {}
+        for gram, n in plain_grams(text).items():
+            expected[plain_feature(gram)] = expected.get(plain_feature(gram), 0) + n
+        assert got.get(i, {}) == expected
+        for feature in expected:
+            frequencies[feature] = frequencies.get(feature, 0) + 1
+    found, total = document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert total == 6 and {int(f): int(found[f]) for f in np.flatnonzero(found)} == frequencies
+
+
+def test_ftrl_step_by_hand():
+    """One row and one epoch: weights start at zero, so the gradient is the value times the error of an even guess."""
+    from shardwright.llm.langid import train_ftrl
+
+    w, bias = train_ftrl([(np.array([3, 7]), np.array([2.0, 0.01]), 1)], 2, epochs=1, alpha=0.5, beta=1.0, l1=0.01, l2=0.1)
+    for feature, x in ((3, 2.0), (7, 0.01)):
+        for c, error in ((0, 0.5), (1, -0.5)):
+            g = x * error
+            z, n = g, g * g
+            expected = 0.0 if abs(z) <= 0.01 else -(z - np.sign(z) * 0.01) / ((1 + np.sqrt(n)) / 0.5 + 0.1)
+            assert np.isclose(w[feature, c], expected)
+    assert np.allclose(bias, [-0.5 / (1.5 / 0.5), 0.5 / (1.5 / 0.5)]) and np.count_nonzero(w) == 2
+
+
+def test_letters_beyond_the_sample(spark):
+    """Texts without a letter do not thin the sample, and a table of such texts teaches nothing."""
+    rows = [(i, "12 !?", "aa") for i in range(400)] + [(1000 + i, f"the ring {i}", "aa") for i in range(4)] + [(2000 + i, f"der schluss {i}", "bb") for i in range(4)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(learn, max_sample=40)
+    assert predict_texts(model, ["the ring", "der schluss"])[0] == ["aa", "bb"]
+    assert fit(learn.where("doc_id < 1000")) is None
