@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardwright.llm.common import lean, prepare_workers, table, text_of
+from shardwright.llm.common import lean, materialize, prepare_workers, table, text_of
 from shardwright.llm.textkit import mix, runs, words
 
 #: The most common words of English, German, French, Spanish, Italian, Portuguese and Dutch.
@@ -185,26 +185,44 @@ def edited_table(docs: DataFrame, chain: int = 2, distance: int = 1) -> DataFram
     return in_order(docs).mapInArrow(lean(work), schema)
 
 
-def near_pairs(signatures: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """Pairs of sets alike to at least ``at_least``: ``id_a, id_b, likeness`` with id_a < id_b.
+def representatives(signatures: DataFrame) -> DataFrame:
+    """``id, signatures, representative``: the least id of the sets equal to each set of ``signatures`` (``id, signatures``).
 
-    ``signatures`` has ``id`` and ``signatures`` (an array of distinct hashes). Sets are put
-    into size partitions whose bounds grow by 1 / ``at_least``, so partners lie in the same or
-    the next one. Only the rarest signatures of a set, as many as no partner can do without,
-    are looked up; sizes are compared before the sets are. Empty sets have no partner.
+    Sets are named by a digest of their sorted members, so copies meet as small rows and only
+    in a partial aggregate. A null set is empty; a null id is never the least unless all are.
     """
-    rows = signatures.select("id", "signatures", F.size("signatures").alias("n")).where("n > 0")
+    members = F.array_sort(F.coalesce("signatures", F.array().cast(dict(signatures.dtypes)["signatures"])))
+    rows = signatures.select("id", members.alias("signatures")).withColumn("_set", F.sha2(F.to_json(F.struct("signatures")), 256))
+    least = rows.groupBy("_set").agg(F.min("id").alias("representative"))
+    return rows.join(least, "_set").select("id", "signatures", "representative")
+
+
+def near_pairs(signatures: DataFrame, at_least: float = 0.8, slice_rows: int = 1000) -> DataFrame:
+    """Pairs of different sets alike to at least ``at_least``: ``id_a, id_b, likeness`` with id_a < id_b.
+
+    ``signatures`` has ``id`` and ``signatures`` (an array of distinct hashes). Of equal sets
+    only the least id stands in pairs; ``representatives`` says for whom. Sets are put into size
+    partitions whose bounds grow by 1 / ``at_least``, so partners lie in the same or the next
+    one. Only the rarest signatures of a set, as many as no partner can do without, are looked
+    up; sizes are compared before the sets are. A signature of many sets is split into slices of
+    about ``slice_rows`` on one side, which the other side meets in turn. Empty and null sets
+    and null ids have no partner; an empty table gives an empty result.
+    """
+    rows = signatures.where("id IS NOT NULL AND size(signatures) > 0")
+    rows = rows.withColumn("_set", F.sha2(F.to_json(F.struct(F.array_sort("signatures").alias("s"))), 256))
+    rows = rows.groupBy("_set").agg(F.min("id").alias("id"), F.first("signatures").alias("signatures")).drop("_set")
+    rows = materialize(rows.withColumn("n", F.size("signatures")))
     listed = rows.select("id", "n", F.explode("signatures").alias("s"))
     counts = listed.groupBy("s").agg(F.count("*").alias("c"))
-    ranked = listed.join(counts, "s").withColumn(
-        "place", F.row_number().over(Window.partitionBy("id").orderBy("c", "s"))
-    )
-    probes = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1)
+    ranked = listed.join(counts, "s").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("c", "s")))
+    probes = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1) & (F.col("c") > 1))
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / at_least)))
-    probes = probes.select("id", "n", "s", part.alias("part"))
-    left = probes.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "s", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    right = probes.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "s", "part")
-    near = left.join(right, ["s", "part"]).where(
+    slices = F.ceil(F.col("c") / slice_rows).cast("int")
+    probes = materialize(probes.select("id", "n", "s", part.alias("part"), slices.alias("slices")))
+    left = probes.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "s", "slices", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    left = left.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    right = probes.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "s", "part", F.pmod(F.hash("id"), F.col("slices")).alias("slice"))
+    near = left.join(right, ["s", "part", "slice"]).where(
         (F.col("id_a") != F.col("id_b"))
         & (F.col("n_a") <= F.col("n_b"))
         & (F.col("n_a") >= F.col("n_b") * at_least - 1e-9)
@@ -214,7 +232,7 @@ def near_pairs(signatures: DataFrame, at_least: float = 0.8) -> DataFrame:
     b = rows.select(F.col("id").alias("id_b"), F.col("signatures").alias("sig_b"))
     shared = F.size(F.array_intersect("sig_a", "sig_b"))
     likeness = shared / (F.size("sig_a") + F.size("sig_b") - shared)
-    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", likeness.alias("likeness")).where(F.col("likeness") >= at_least)
+    return pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", likeness.alias("likeness")).where(F.col("likeness") >= at_least - 1e-12)
 
 
 def op3_spotsigs(spark, sf_dir: str) -> DataFrame:

@@ -22,12 +22,16 @@ AWKWARD = [
     (12, "a  b"),
 ]
 
+#: Names that operators give to columns of their own, in any case, and one that needs quotes.
+CLASHES = "_digest _LOST_DIGEST _lost_id _words _lost _id _Source _size _repeats _copy _key _node _lost_key _lost_node _stays id copies links class_id first a.b".split()
+
 
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Extra columns bear names that the operators use inside."""
-    rows = [(i, t, "en", "s" if i and i % 2 else None, 7, "clash", 1.0) for i, t in AWKWARD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, node int, digest string, score double").repartition(3)
+    rows = [(i, t, "en", "s" if i and i % 2 else None, 7, "clash", 1.0, *["clash"] * len(CLASHES)) for i, t in AWKWARD]
+    extra = "".join(f", `{c}` string" for c in CLASHES)
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, node int, digest string, score double{extra}").repartition(3)
 
 
 @pytest.fixture(scope="session")

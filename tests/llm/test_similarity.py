@@ -9,8 +9,8 @@ import numpy as np
 
 from shardwright.llm.components import connected_components
 from shardwright.llm.lsh_forest import CELLS, TREES, _verify, lengths, ngram_join, one_of_each_class, rarest, recall, shingle_sets
-from shardwright.llm.spotsigs import as_string, edited, edited_table, fingerprints, jaccard, near_pairs
-from tests_brute import connected, linked_pairs, shingles, word_list
+from shardwright.llm.spotsigs import ANCHORS, as_string, edited, edited_table, fingerprints, jaccard, near_pairs, representatives
+from tests_brute import connected, linked_pairs, word_list
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -220,10 +220,44 @@ def test_fingerprints():
     assert fingerprints([long])[0].tolist() == fingerprints(["x", long])[1].tolist()
 
 
+def plain_fingerprint(text, anchors):
+    """The set of (anchor, next two content words), from plain word lists; without any, of three-word runs."""
+    listed = word_list(text)
+    content = [(k, w) for k, w in enumerate(listed) if w not in anchors]
+    found = set()
+    for k, w in enumerate(listed):
+        after = [c for at, c in content if at > k][:2]
+        if w in anchors and len(after) == 2:
+            found.add((w, *after))
+    return found or {tuple(listed[i : i + 3]) for i in range(max(1, len(listed) - 2))}
+
+
+def test_fingerprints_are_brute_force():
+    """Sizes and likeness of fingerprints against word lists that share no code with the module."""
+    rng = random.Random(11)
+    pool = "the a of and cat dog river house over under quick le des und haus fluss mano casa de la".split()
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(5, 120))) for _ in range(40)] + ["cat dog river house", "Cat"]
+    ours, plain = fingerprints(texts), [plain_fingerprint(t, set(ANCHORS)) for t in texts]
+    assert [len(x) for x in ours] == [len(x) for x in plain]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert jaccard(ours[i], ours[j]) == len(plain[i] & plain[j]) / len(plain[i] | plain[j])
+
+
 def test_spotsigs_join_is_brute_force(spark):
     texts = near_copies(seed=7, bases=4, copies=8)
-    prints = fingerprints(texts)
-    rows = [(i, [int(x) for x in p]) for i, p in enumerate(prints)]
-    got = {(r["id_a"], r["id_b"]): r["likeness"] for r in near_pairs(spark.createDataFrame(rows, "id long, signatures array<long>"), 0.6).collect()}
-    expected = {(i, j): jaccard(prints[i], prints[j]) for j in range(len(rows)) for i in range(j) if len(prints[i]) and jaccard(prints[i], prints[j]) >= 0.6}
-    assert got == expected
+    prints = [frozenset(int(x) for x in p) for p in fingerprints(texts)]
+    rows = [(i, sorted(p)) for i, p in enumerate(prints)] + [(900, []), (901, None), (None, [1, 2])]
+    signatures = spark.createDataFrame(rows, "id long, signatures array<long>")
+    least = {p: min(i for i, q in enumerate(prints) if q == p) for p in prints}
+    expected = {}
+    for a, i in least.items():
+        for b, j in least.items():
+            if i < j and len(a & b) / len(a | b) >= 0.6:
+                expected[i, j] = len(a & b) / len(a | b)
+    for slice_rows in (1000, 2):  # small slices split every shared signature
+        got = {(r["id_a"], r["id_b"]): r["likeness"] for r in near_pairs(signatures, 0.6, slice_rows).collect()}
+        assert got == expected
+    found = {r["id"]: r["representative"] for r in representatives(signatures).collect()}
+    assert {i: found[i] for i in range(len(prints))} == {i: least[p] for i, p in enumerate(prints)} and found[900] == found[901] == 900
+    assert near_pairs(signatures.limit(0)).count() == 0
