@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from shardwright.llm.common import all_columns, fresh, materialize, table, text_of
 
 
+#: Pairs of digest and id up to this number are broadcast; about 100 bytes each.
+FEW_LOST = 500_000
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, digest, rid``, stored once: later passes read a few bytes a row, not the texts."""
     return materialize(
@@ -77,34 +81,35 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, heavy_share: float = 0.001) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns and whole texts.
 
-    Which rows stay is settled on digests alone. Copies in the heavy groups go where they lie,
-    by the broadcast winners; the other texts then move once, in the join with the rows that
-    stay. Rows that repeat id and text are reduced to one of them. A null text equals the empty
-    one, a null id sorts below all others, an empty table stays empty, and other columns may
-    have any name.
+    What goes is settled on digests alone, heavy groups by their broadcast winners. Up to
+    ``FEW_LOST`` pairs of digest and id that go are broadcast, and then no text moves; more are
+    joined by shuffle, after the copies of heavy groups have gone where they lie. Rows that
+    repeat id and text are reduced to one of them. A null text equals the empty one, a null id
+    sorts below all others, an empty table stays empty, and other columns may have any name.
     """
     rows = digests(docs)
-    total = rows.count()
-    heavy = frequent_digests(rows, total, heavy_share)
-    hot = rows.join(F.broadcast(heavy), "digest").where(F.col("rid") == F.col("winner.rid"))
-    cold = (
-        rows.join(F.broadcast(heavy), "digest", "left_anti")
-        .groupBy("digest")
-        .agg(F.max(F.struct("id", "rid")).alias("winner"))
-    )
-    kept = hot.select("digest", F.col("winner.id").alias("kept_id")).unionByName(
-        cold.select("digest", F.col("winner.id").alias("kept_id"))
-    )
-    digest, kept_digest, kept_id = fresh(docs, "_digest", "_kept_digest", "_kept_id")
-    kept = kept.select(F.col("digest").alias(kept_digest), F.col("kept_id").alias(kept_id))
-    winners = heavy.select(F.col("digest").alias(kept_digest), F.col("winner.id").alias(kept_id))
-    marked = docs.withColumn(digest, F.sha2(text_of().cast("binary"), 256))
-    lost = (F.col(digest) == F.col(kept_digest)) & ~F.col("doc_id").eqNullSafe(F.col(kept_id))
-    left = marked.join(F.broadcast(winners), lost, "left_anti")
-    found = left.join(kept, (F.col(digest) == F.col(kept_digest)) & F.col("doc_id").eqNullSafe(F.col(kept_id)))
-    repeated = rows.groupBy("id", "digest").count().where("count > 1").limit(1).count() > 0
-    found = found.dropDuplicates([digest]) if repeated else found
-    return found.select(*all_columns(docs))
+    heavy = frequent_digests(rows, rows.count(), heavy_share)
+    hot = rows.join(F.broadcast(heavy), "digest")
+    cold = rows.join(F.broadcast(heavy), "digest", "left_anti")
+    copied = cold.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "rid")).alias("winner")).where("group_size > 1")
+    members = hot.unionByName(cold.join(copied, "digest"))
+    stays = F.col("id").eqNullSafe(F.col("winner.id"))
+    marked = materialize(members.groupBy("digest", "id", stays.alias("stays")).agg(F.count("*").alias("n")).where("NOT stays OR n > 1"))
+    digest, lost_digest, lost_id = fresh(docs, "_digest", "_lost_digest", "_lost_id")
+    named = [F.col("digest").alias(lost_digest), F.col("id").alias(lost_id)]
+    few = marked.count() <= FEW_LOST
+    lost, repeated = (F.broadcast(x) if few else x for x in (marked.where("NOT stays").select(*named), marked.where("stays").select(*named)))
+    same = (F.col(digest) == F.col(lost_digest)) & F.col("doc_id").eqNullSafe(F.col(lost_id))
+    left = docs.withColumn(digest, F.sha2(text_of().cast("binary"), 256))
+    if not few:
+        winners = heavy.select(F.col("digest").alias(lost_digest), F.col("winner.id").alias(lost_id))
+        beaten = (F.col(digest) == F.col(lost_digest)) & ~F.col("doc_id").eqNullSafe(F.col(lost_id))
+        left = left.join(F.broadcast(winners), beaten, "left_anti")
+    kept = left.join(lost, same, "left_anti")
+    if not marked.where("stays").isEmpty():
+        single = kept.join(repeated, same, "left_semi").dropDuplicates([digest])
+        kept = kept.join(repeated, same, "left_anti").unionByName(single)
+    return kept.select(*all_columns(docs))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

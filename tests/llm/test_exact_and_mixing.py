@@ -38,10 +38,14 @@ def test_hot_group_and_repeated_rows(spark):
     assert got.where("kept AND group_size = 500").count() == 1
 
 
-def test_drop_exact_copies(awkward, nothing):
-    kept = drop_exact_copies(awkward)
-    assert kept.columns == awkward.columns
-    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 3, 4, 5, 7, 8, 9, 10, 12]
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_drop_exact_copies(awkward, nothing, monkeypatch, few):
+    monkeypatch.setattr("shardwright.llm.exact_dedup.FEW_LOST", few)
+    for share in (0.001, 0.1, 1.0):
+        kept = drop_exact_copies(awkward, share)
+        assert kept.columns == awkward.columns
+        assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 3, 4, 5, 7, 8, 9, 10, 12]
+        assert {r["_lost"] for r in kept.collect()} == {"clash"}
     assert drop_exact_copies(nothing).count() == exact_dedup(nothing).count() == 0
 
 
@@ -65,7 +69,7 @@ def test_mixing_awkward_rows(awkward, nothing):
     got = mix_table(awkward)
     assert got.count() == awkward.count() and got.where("doc_id = 1 AND size = 0 AND taken = 0").count() == 1
     mixed = mix_documents(awkward)
-    assert mixed.columns == awkward.columns
+    assert mixed.columns == awkward.columns and mixed.where("_words != 'clash' OR `a.b` != 'clash'").count() == 0
     taken = got.groupBy().sum("taken").first()[0]
     assert mixed.select(word_count(mixed["text"]).alias("n")).groupBy().sum("n").first()[0] == taken
     assert mix_table(nothing).count() == mix_documents(nothing).count() == 0
