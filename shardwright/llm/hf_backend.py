@@ -85,7 +85,7 @@ class WordEncoder:
     the libraries many at a time, in lines that are cut again where a piece begins with a blank.
     """
 
-    REMEMBERED, LINE = 500_000, 1000
+    REMEMBERED, LINE, LINES = 300_000, 1000, 16
 
     def __init__(self, data: bytes, verify: bool = True) -> None:
         self.model = parse(data)
@@ -110,7 +110,7 @@ class WordEncoder:
     def _lines(self, parts: list[list[str]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]] | None]:
         """Per part its ids, sizes, agreement, sameness and text; None if it cannot be cut again into its words.
 
-        Every word begins with its only blank. All parts go to the library as one batch of
+        Every word begins with its only blank. The parts go to the library as one batch of
         lines, which it encodes on its threads.
         """
         lines = ["".join(words) for words in parts]
@@ -149,7 +149,10 @@ class WordEncoder:
         simple = [w for w in missing if len(w) > 1 and w[1] != BLANK]
         others = [w for w in missing if len(w) == 1 or w[1] == BLANK]
         parts = [simple[i : i + self.LINE] for i in range(0, len(simple), self.LINE)]
-        found = [(words, line or self._single(words)) for words, line in zip(parts, self._lines(parts), strict=True)]
+        found = []
+        for i in range(0, len(parts), self.LINES):  # a batch of lines at a time, as encodings take far more room than ids
+            batch = parts[i : i + self.LINES]
+            found += [(words, line or self._single(words)) for words, line in zip(batch, self._lines(batch), strict=True)]
         found += [(others, self._single(others))] if others else []
         first = len(self.words)
         for words, (_, _, _, same, back) in found:
