@@ -45,8 +45,8 @@ def prefix_examples(turns: DataFrame, target_role: str = "assistant") -> DataFra
     points from ``loss_start`` (from 0) to ``loss_end`` (exclusive): the reply with its end
     marker left out. A conversation whose last turns draw no reply ends with one example that
     holds them all and has an empty trainable part at its end. Null text or role is empty; a
-    null turn comes first; rows that repeat a turn follow by role, then text. Other columns are
-    ignored; an empty table gives no example.
+    null turn comes first; rows that repeat a turn follow by role, then text. Rows of a null
+    conv_id are one conversation. Other columns are ignored; an empty table gives no example.
     """
     turn = F.struct(
         "turn",
@@ -134,13 +134,14 @@ WITH t AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (
   SELECT *, 12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS n,
-         max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM t),
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+         count(*) OVER (PARTITION BY conv_id) AS last_place FROM t),
 f AS (
-  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM e)
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM e)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(upto) FILTER (role = 'assistant' OR turn = last_turn) AS BIGINT) AS formatted_chars
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR place = last_place) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
 """
