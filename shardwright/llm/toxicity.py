@@ -410,7 +410,8 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             sums = np.bincount(own, known.weights[feature] * value, minlength=batch.num_rows) + known.bias
             yield batch.filter(pa.array(sums < 0))
 
-    return docs.mapInArrow(lean(work), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever characters a name holds
+    return plain.mapInArrow(lean(work), plain.schema).toDF(*docs.columns)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
