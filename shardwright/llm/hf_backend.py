@@ -85,7 +85,7 @@ class WordEncoder:
     the libraries many at a time, in lines that are cut again where a piece begins with a blank.
     """
 
-    REMEMBERED, LINE, LINES = 300_000, 1000, 16
+    REMEMBERED, LINE, LINES = 200_000, 1000, 16
 
     def __init__(self, data: bytes, verify: bool = True) -> None:
         self.model = parse(data)
