@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shardwright.functions.ordering import order_key, ranks, uniform
 from shardwright.operators.graph import checkpointed
-from shardwright.operators.knn import nearest
+from shardwright.operators.knn import at_places, nearest
 
 
 def _class_join(rows: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
@@ -31,6 +31,9 @@ def _differ(a: str, b: str):
 class Balancer:
     """The columns and the seed that the resampling methods share."""
 
+    #: Up to this place down the list all neighbours before it are listed too.
+    FEW_PLACES = 20
+
     def __init__(self, groups: list[str], key: str, label: str, features: str, seed: int = 42) -> None:
         self.groups, self.key, self.label, self.features, self.seed = groups, key, label, features, seed
 
@@ -59,8 +62,8 @@ class Balancer:
         """Rows between a base row and one of its neighbours of the same class.
 
         ``wanted`` has groups, label, key and ``_copy`` (from 0): one synthetic row each, known by
-        ``_origin``. Without ``k`` any other row of the class may be the neighbour; where that
-        asks for a neighbour too far down the list, ``nearest`` refuses and ``k`` has to be given.
+        ``_origin``. Without ``k`` any other row of the class may be the neighbour, however far
+        down the list.
         """
         by = [*self.groups, self.label]
         counts = self.class_counts(rows).select(*by, "n", "least")
@@ -74,7 +77,10 @@ class Balancer:
         most = picks.agg(F.max("place")).first()[0]
         if not most:
             return rows.limit(0).select(*self._columns(True), F.lit(None).cast("string").alias("_origin"))
-        near = nearest(rows, by, self.key, self.features, most, queries=rows.join(picks.select(*self.groups, self.key).distinct(), [*self.groups, self.key], "left_semi"))
+        if most <= self.FEW_PLACES:
+            near = nearest(rows, by, self.key, self.features, most, queries=rows.join(picks.select(*self.groups, self.key).distinct(), [*self.groups, self.key], "left_semi"))
+        else:
+            near = at_places(rows, by, self.key, self.features, picks.select(*by, self.key, "place").distinct())
         x = rows.select(*self.groups, self.key, F.col(self.features).alias("_x"))
         y = rows.select(*self.groups, F.col(self.key).alias("neighbour"), F.col(self.features).alias("_y"))
         near = near.select(*self.groups, self.key, "place", "neighbour")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shardwright.functions.ordering import exact_quantiles, ntile_of, order_key, ranks, value_ranks
 from shardwright.operators import binning
 from shardwright.operators.features import mean_impute, zscore
-from shardwright.operators.knn import nearest, squared_distances
+from shardwright.operators.knn import at_places, nearest, squared_distances
 from shardwright.operators.resample import Balancer
 from shardwright.operators.strategies.balance import StratifiedBalanced
 from shardwright.operators.strategies.clustering import FeatureClustering, TSNEClustering, tsne
@@ -270,6 +270,46 @@ def test_neighbours_beyond_the_limit_are_refused(spark, monkeypatch):
         nearest(data, [], "id", "x", 2)
 
 
+def test_neighbours_at_any_place_are_brute_force(spark, monkeypatch):
+    """Copies tie by key, and every place down to the last is found, by one task or by many."""
+    points = np.random.default_rng(5).normal(size=(60, 3)).round(1)
+    points[40:] = points[:20]
+    data = spark.createDataFrame([(i, i % 2, p.tolist()) for i, p in enumerate(points)], "id long, g long, x array<double>")
+    wanted = data.select("g", "id", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("place"))
+    for pairs in (400_000_000, 100):
+        monkeypatch.setattr("shardwright.operators.knn.PAIRS_A_TASK", pairs)
+        got = at_places(data, ["g"], "id", "x", wanted).toPandas()
+        assert len(got) == 60 * 29
+        for i in range(60):
+            others = [j for j in range(i % 2, 60, 2) if j != i]
+            d2 = squared_distances(points[[i]], points[others])[0]
+            found = got[got["id"] == i].sort_values("place")
+            assert found["neighbour"].tolist() == [j for _, j in sorted(zip(d2, others))]
+            assert found["d2"].tolist() == sorted(d2)
+
+
+def test_nearest_among_copies_and_many_rows(spark, monkeypatch):
+    """Enough rows that the bound on the k-th comes from strips; ties go to the smaller key also across blocks."""
+    monkeypatch.setattr("shardwright.operators.knn.BLOCK", 250)
+    points = np.random.default_rng(6).normal(size=(600, 2)).round(1) + 1000
+    data = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, x array<double>")
+    d2 = squared_distances(points, points)
+    np.fill_diagonal(d2, np.inf)
+    for queries in (None, data.where("id % 7 = 0")):
+        got = nearest(data, [], "id", "x", 3, queries).toPandas().sort_values(["id", "place"])
+        ids = got["id"].unique()
+        assert len(ids) == (600 if queries is None else 86)
+        assert got["neighbour"].to_numpy().reshape(-1, 3).tolist() == np.argsort(d2[ids], axis=1, kind="stable")[:, :3].tolist()
+
+
+def test_smote_of_a_class_beyond_the_listed_neighbours(spark):
+    """The smallest class has more rows than neighbours are listed for a row."""
+    points = np.random.default_rng(7).normal(size=(3300, 2))
+    data = spark.createDataFrame([(i, int(i % 3 == 0), p.tolist()) for i, p in enumerate(points)], "id long, y int, x array<double>")
+    got = Balancer([], "id", "y", "x").smote(data)
+    assert {(r["y"], r["synthetic"]): r["count"] for r in got.groupBy("y", "synthetic").count().collect()} == {(0, False): 2200, (1, False): 1100, (1, True): 1100}
+
+
 def test_features(spark):
     data = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (4, 3.0)], "id long, v double")
     assert [r["v"] for r in mean_impute(data, ["v"]).orderBy("id").collect()] == [1.0, 2.0, 2.0, 3.0]
