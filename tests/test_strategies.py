@@ -310,6 +310,25 @@ def test_smote_of_a_class_beyond_the_listed_neighbours(spark):
     assert {(r["y"], r["synthetic"]): r["count"] for r in got.groupBy("y", "synthetic").count().collect()} == {(0, False): 2200, (1, False): 1100, (1, True): 1100}
 
 
+@pytest.mark.parametrize("method", ["smote_tomek"])
+def test_cleaning_after_smote_of_a_large_class(spark, method):
+    """What stays is what stays of the filled rows by all pairs."""
+    points = np.random.default_rng(8).normal(size=(3300, 2))
+    data = spark.createDataFrame([(i, int(i % 3 == 0), p.tolist()) for i, p in enumerate(points)], "id long, y int, x array<double>")
+    balancer = Balancer([], "id", "y", "x")
+    filled = balancer.smote(data).toPandas()
+    x, y = np.stack(filled["x"].to_numpy()), filled["y"].to_numpy()
+    d2 = squared_distances(x, x)
+    np.fill_diagonal(d2, np.inf)
+    near = np.argsort(d2, axis=1, kind="stable")[:, :3]
+    if method == "smote_tomek":
+        lost = (near[near[:, 0], 0] == np.arange(len(x))) & (y[near[:, 0]] != y)
+    else:
+        lost = (y[near] != y[:, None]).any(1)
+    got = getattr(balancer, method)(data).toPandas()
+    assert lost.any() and sorted(map(tuple, got["x"])) == sorted(map(tuple, x[~lost]))
+
+
 def test_features(spark):
     data = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (4, 3.0)], "id long, v double")
     assert [r["v"] for r in mean_impute(data, ["v"]).orderBy("id").collect()] == [1.0, 2.0, 2.0, 3.0]
