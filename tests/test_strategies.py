@@ -310,7 +310,7 @@ def test_smote_of_a_class_beyond_the_listed_neighbours(spark):
     assert {(r["y"], r["synthetic"]): r["count"] for r in got.groupBy("y", "synthetic").count().collect()} == {(0, False): 2200, (1, False): 1100, (1, True): 1100}
 
 
-@pytest.mark.parametrize("method", ["smote_tomek"])
+@pytest.mark.parametrize("method", ["smote_tomek", "smote_enn"])
 def test_cleaning_after_smote_of_a_large_class(spark, method):
     """What stays is what stays of the filled rows by all pairs."""
     points = np.random.default_rng(8).normal(size=(3300, 2))
