@@ -43,6 +43,7 @@ class DifficultySplit(Strategy):
     The score is one less the probability of the true class, 0 or 1 without probabilities, and
     for a numeric target the absolute error over the largest one. ``estimator`` is an untrained
     ``pyspark.ml`` model over the columns ``features`` and ``label``; by default a random forest.
+    A regressor or classifier of ``pyspark.ml`` settles what the target is; else the label does.
     """
 
     hard, easy, prefix = "hard", "easy", "chunk"
@@ -52,6 +53,14 @@ class DifficultySplit(Strategy):
         super().__init__(key_cols, n_partitions, random_state)
         self.label_col, self.feature_cols, self.threshold, self.estimator, self.cv = label_col, list(feature_cols), threshold, estimator, cv
 
+    def classifies(self, data: DataFrame) -> bool:
+        from pyspark.ml.classification import Classifier
+        from pyspark.ml.regression import Regressor
+
+        if isinstance(self.estimator, (Classifier, Regressor)):
+            return isinstance(self.estimator, Classifier)
+        return is_classification(data, self.label_col)
+
     def out_of_fold(self, data: DataFrame, classify: bool) -> DataFrame:
         """Keys, ``label`` (index of the sorted class, or the number), ``prediction`` and, if there are any, ``probability``.
 
@@ -96,7 +105,7 @@ class DifficultySplit(Strategy):
 
     def scores(self, data: DataFrame) -> DataFrame:
         """Keys and ``score``."""
-        classify = is_classification(data, self.label_col)
+        classify = self.classifies(data)
         found = self.out_of_fold(data, classify)
         if classify and "probability" in found.columns:
             score = 1 - F.coalesce(F.get("probability", F.col("label").cast("int")), F.lit(0.0))
@@ -118,7 +127,7 @@ class UncertaintySplit(DifficultySplit):
     hard, easy, prefix = "high_uncertainty", "low_uncertainty", "uncertainty_level"
 
     def scores(self, data: DataFrame) -> DataFrame:
-        if not is_classification(data, self.label_col):
+        if not self.classifies(data):
             raise ValueError("uncertainty needs a class label")
         found = self.out_of_fold(data, True)
         if "probability" not in found.columns:

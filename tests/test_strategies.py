@@ -374,6 +374,23 @@ def test_tsne_and_its_limit(spark):
         FeatureClustering(["id"], method="pca")
 
 
+def test_a_regressor_takes_few_distinct_numbers_for_numbers(spark):
+    """Ten prices over 400 rows look like classes; the residuals of a line decide all the same."""
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=400), rng.integers(0, 10, 400) * 1.5
+    data = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    got = DifficultySplit(["id"], "y", ["x"], 3, estimator=LinearRegression(solver="normal", regParam=0.0)).assign(data).toPandas().set_index("id")["partition"]
+    fold = np.arange(400) // 80
+    error = np.empty(400)
+    for f in range(5):
+        slope, base = np.polyfit(x[fold != f], y[fold != f], 1)
+        error[fold == f] = np.abs(y - slope * x - base)[fold == f]
+    for chunk, ids in enumerate(np.array_split(np.argsort(error), 3)):
+        assert set(got[ids]) == {f"chunk_{chunk}"}
+
+
 def test_difficulty_and_uncertainty(spark):
     data = spark.range(120).select("id", (F.col("id") % 2).cast("string").alias("y"), (F.col("id") % 2 + F.rand(1)).alias("f"))
     hard = DifficultySplit(["id"], "y", ["f"], threshold=0.5).assign(data)
