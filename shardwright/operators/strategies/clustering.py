@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shardwright.operators.base import Strategy, names
 from shardwright.operators.features import NUMERIC, mean_impute, numeric_columns, zscore
 from shardwright.operators.graph import checkpointed, components
+from shardwright.operators.knn import squared_distances
 from shardwright.workers import ship_code
 
 #: With more features than this, their first principal components are clustered.
@@ -88,32 +89,171 @@ def kmeans(rows: DataFrame, keys: list[str], columns: list[str], k: int, seed: i
     return model.transform(vectors).select(*keys, "cluster")
 
 
+#: Squared distances that a task of ``dbscan`` holds at once.
+AT_ONCE = 1_000_000
+
+
+def _within(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each side that the box around the other side, ``eps`` wider, holds."""
+    wide = eps * (1 + 1e-9)
+    return tuple(np.flatnonzero(((x >= y.min(0) - wide) & (x <= y.max(0) + wide)).all(1)) for x, y in ((a, b), (b, a)))
+
+
+def _touch(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether any row of ``a`` lies within ``eps`` of one of ``b``."""
+    near_a, near_b = _within(a, b, eps)
+    a, b = a[near_a], b[near_b]
+    step = 256
+    for s in range(0, len(a), step):
+        for t in range(0, len(b), 4 * step):
+            if (squared_distances(a[s : s + step], b[t : t + 4 * step]) <= eps * eps).any():
+                return True
+    return False
+
+
+def _spans(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts rows of a box together, the boxes, and where each starts (and the last ends)."""
+    found, which = np.unique(boxes, axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    order = np.argsort(which, kind="stable")
+    return order, found, np.searchsorted(which[order], np.arange(len(found) + 1))
+
+
+def _pairs_of_boxes(found: np.ndarray, starts: np.ndarray, reach: int):
+    """Every box with the boxes whose places differ by at most ``reach`` in each dimension (itself included)."""
+    for i, box in enumerate(found):
+        low, high = np.searchsorted(found[:, 0], [box[0] - reach, box[0] + reach + 1])
+        yield i, low + np.flatnonzero((np.abs(found[low:high] - box) <= reach).all(1))
+
+
 def dbscan(rows: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """Density clusters (Ester et al. 1996): ``key, cluster``, null for noise.
 
-    The first ``grid_dims`` (at most three) features are cut into cells ``eps`` wide, so pairs
-    within ``eps`` lie in the same or touching cells; distances are over all features. Core rows
-    within ``eps`` of each other are one cluster; a border row joins its nearest core row.
+    Core rows within ``eps`` of each other are one cluster; a border row joins its nearest core
+    row. Equal points are one point that counts so many times. Points are put into boxes whose
+    diagonal is ``eps``: a box of ``min_samples`` rows is core as a whole and one node of the
+    graph, in other boxes (Gunawan 2013) a core point is a node. Pairs are never written out.
+
+    The first features (at most three) are cut into cells, and a task has a cell with the rows
+    around it: so cells have to be ``eps`` wide at least, and pairs within ``eps`` lie in the same
+    or touching cells. Distances are over all features.
     """
-    grid = columns[:3]
-    cell = [F.floor(F.col(c) / eps).cast("long") for c in grid]
-    base = rows.select(F.col(key).alias("_k"), F.array(*columns).alias("_x"), *[c.alias(f"_c{i}") for i, c in enumerate(cell)])
-    moves = F.array(*[F.array(*[F.lit(m) for m in move]) for move in product((-1, 0, 1), repeat=len(grid))])
-    around = base.select("_k", "_x", F.explode(moves).alias("_m"), *[f"_c{i}" for i in range(len(grid))])
-    around = around.select(F.col("_k").alias("_a"), F.col("_x").alias("_xa"), *[(F.col(f"_c{i}") + F.get("_m", F.lit(i))).alias(f"_c{i}") for i in range(len(grid))])
-    pairs = around.join(base, [f"_c{i}" for i in range(len(grid))])
-    d2 = F.aggregate(F.zip_with("_xa", "_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = checkpointed(pairs.select("_a", F.col("_k").alias("_b"), d2.alias("d2")).where(F.col("d2") <= eps * eps))
-    core = near.groupBy("_a").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_samples).select(F.col("_a").alias("node"))
-    core = checkpointed(core)
-    links = near.where("_a < _b").join(core.withColumnRenamed("node", "_a"), "_a", "left_semi").join(core.withColumnRenamed("node", "_b"), "_b", "left_semi")
-    found = components(core, links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
-    reached = near.join(found, near["_b"] == found["node"]).groupBy("_a").agg(F.min(F.struct("d2", "_b", "component")).alias("m"))
-    owner = reached.select(F.col("_a").alias("_k"), F.col("m.component").alias("_root"))
-    roots = found.select("component").distinct()
-    numbered = roots.select(F.col("component").alias("_root"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("component")) - 1).alias("cluster"))
-    placed = owner.join(numbered, "_root")
-    return base.select("_k").join(placed, "_k", "left").select(F.col("_k").alias(key), "cluster")
+    ship_code(rows.sparkSession)
+    points = rows.select(F.array(*columns).alias("_x"), F.col(key).alias("_k")).groupBy("_x").agg(F.min("_k").alias("_k"), F.count("*").alias("_n"))
+    side = eps / np.sqrt(len(columns)) * (1 - 1e-9)
+    grid = range(min(3, len(columns)))
+    points = checkpointed(points)
+    kind = dict(points.dtypes)["_k"]
+    cells = [f"_c{i}" for i in grid]
+
+    def around(table: DataFrame) -> DataFrame:
+        """Every point for its own cell (``_own``) and the touching ones."""
+        moves = F.array(*[F.array(*[F.lit(m) for m in move]) for move in product((-1, 0, 1), repeat=len(grid))])
+        out = table.select("*", F.explode(moves).alias("_m"))
+        # A cell a little wider than eps keeps pairs at just that distance in touching cells, however floor rounds.
+        place = [(F.floor(F.get("_x", F.lit(i)) / (eps * (1 + 1e-9))) + F.get("_m", F.lit(i))).cast("long").alias(c) for i, c in zip(grid, cells, strict=True)]
+        return out.select(*table.columns, F.forall("_m", lambda m: m == 0).alias("_own"), *place)
+
+    def opened(part: pd.DataFrame):
+        part = part.sort_values("_k")
+        x = np.stack(part["_x"].to_numpy()).astype(float)
+        boxes = np.floor(x / side).astype(np.int64)
+        order, found, starts = _spans(boxes)
+        part, x = part.iloc[order], x[order]
+        return part, x, found, starts, part["_own"].to_numpy(bool)
+
+    reach = int(np.ceil(eps / side))
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        """Own points with ``_core`` and ``_node``: the least key of a full box, or their own."""
+        part, x, found, starts, own = opened(part)
+        n, keys = part["_n"].to_numpy(), part["_k"].to_numpy()
+        core, node = np.zeros(len(part), bool), keys.copy()
+        for i, near in _pairs_of_boxes(found, starts, reach):
+            here = slice(starts[i], starts[i + 1])
+            if not own[here].any():
+                continue
+            if n[here].sum() >= min_samples:
+                core[here], node[here] = True, keys[here].min()
+                continue
+            there = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in near])
+            total = np.zeros(starts[i + 1] - starts[i])
+            for s in range(0, len(there), AT_ONCE // min_samples + 1):
+                at = there[s : s + AT_ONCE // min_samples + 1]
+                total += ((squared_distances(x[here], x[at]) <= eps * eps) * n[at]).sum(1)
+                if (total >= min_samples).all():
+                    break
+            core[here] = total >= min_samples
+        return pd.DataFrame({"_x": part["_x"], "_k": keys, "_n": n, "_core": core, "_node": node})[own]
+
+    counted = around(points).groupBy(*cells).applyInPandas(count, f"_x array<double>, _k {kind}, _n long, _core boolean, _node {kind}")
+    counted = checkpointed(counted)
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        """Links between nodes of core points; for other own points the nearest core point, if within ``eps``."""
+        part, x, found, starts, own = opened(part)
+        core, node, keys = part["_core"].to_numpy(bool), part["_node"].to_numpy(), part["_k"].to_numpy()
+        u, v, kinds = [], [], []
+        parent = {k: k for k in node[core]}
+
+        def root(k):
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        for i, near in _pairs_of_boxes(found, starts, reach):
+            here = np.arange(starts[i], starts[i + 1])
+            if not own[here].any():
+                continue
+            # Every pair has a row in its own cell, whose task sees the other one; other boxes may be seen in part.
+            there = [np.arange(starts[j], starts[j + 1]) for j in near]
+            there = [t[core[t]] for t in there if core[t].any()]
+            for a in _by_node(here[core[here]], node):
+                for t in there:
+                    for b in _by_node(t, node):
+                        p, q = root(node[a[0]]), root(node[b[0]])
+                        if p != q and _touch(x[a], x[b], eps):
+                            parent[max(p, q)] = min(p, q)
+                            u.append(node[a[0]]), v.append(node[b[0]]), kinds.append(0)
+            rest = here[~core[here]]
+            rest = rest[own[rest]]
+            if len(rest) and there:
+                there = np.concatenate(there)
+                best = [(np.inf, None)] * len(rest)
+                for s in range(0, len(there), AT_ONCE // min_samples + 1):
+                    at = there[s : s + AT_ONCE // min_samples + 1]
+                    at = at[np.argsort(keys[at], kind="stable")]
+                    d2 = squared_distances(x[rest], x[at])
+                    for r, c in enumerate(d2.argmin(1)):
+                        if d2[r, c] <= eps * eps and (best[r][1] is None or (d2[r, c], keys[at[c]]) < (best[r][0], keys[best[r][1]])):
+                            best[r] = (d2[r, c], at[c])
+                for r, (_, c) in zip(rest, best, strict=True):
+                    if c is not None:
+                        u.append(keys[r]), v.append(node[c]), kinds.append(1)
+        return pd.DataFrame({"u": pd.Series(u, dtype=keys.dtype), "v": pd.Series(v, dtype=keys.dtype), "kind": pd.Series(kinds, dtype="int32")})
+
+    linked = checkpointed(around(counted).groupBy(*cells).applyInPandas(link, f"u {kind}, v {kind}, kind int"))
+    nodes = counted.where("_core").select(F.col("_node").alias("node")).distinct()
+    found = components(nodes, linked.where("kind = 0").select("u", "v"))
+    owner = counted.where("_core").select("_x", "_node").unionByName(
+        counted.where("NOT _core").join(linked.where("kind = 1").select(F.col("u").alias("_k"), F.col("v").alias("_of")), "_k").select("_x", F.col("_of").alias("_node"))
+    )
+    # The least core key of a cluster; nodes are named by a key of theirs, which is the least of a full box.
+    placed = owner.join(found.select(F.col("node").alias("_node"), F.col("component").alias("_root")), "_node").select("_x", "_root")
+    roots = found.select(F.col("component").alias("_root")).distinct()
+    numbered = roots.withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_root")) - 1)
+    placed = placed.join(numbered, "_root").select(F.col("_x").alias("_at"), "cluster")
+    base = rows.select(F.col(key), F.array(*columns).alias("_x"))
+    return base.join(placed, F.col("_x") == F.col("_at"), "left").select(key, "cluster")
+
+
+def _by_node(places: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    """Places of one box by node: one piece for a full box, else one for each point."""
+    if not len(places):
+        return []
+    if (node[places] == node[places[0]]).all():
+        return [places]
+    return [places[i : i + 1] for i in range(len(places))]
 
 
 def tsne(x: np.ndarray, components_: int = 2, perplexity: float = 30.0, seed: int = 42, rounds: int = 300) -> np.ndarray:

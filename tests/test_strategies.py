@@ -15,7 +15,7 @@ from shardwright.operators.features import mean_impute, zscore
 from shardwright.operators.knn import at_places, nearest, squared_distances
 from shardwright.operators.resample import Balancer
 from shardwright.operators.strategies.balance import StratifiedBalanced
-from shardwright.operators.strategies.clustering import FeatureClustering, TSNEClustering, tsne
+from shardwright.operators.strategies.clustering import FeatureClustering, TSNEClustering, dbscan, tsne
 from shardwright.operators.strategies.difficulty import DifficultySplit, UncertaintySplit, is_classification
 from shardwright.operators.strategies.random import RandomSplit
 from shardwright.operators.strategies.regression import RegressionBinning, RegressionStratified
@@ -349,6 +349,43 @@ def test_clusters_find_blobs(spark, method, options):
     assert got.groupby(blob)["partition"].nunique().eq(1).all() and len(got) == 90
 
 
+def _plain_dbscan(points, eps, least):
+    """Clusters by key of row, row by row over all pairs; None for noise."""
+    d2 = squared_distances(points, points)
+    near = d2 <= eps * eps
+    core = near.sum(1) >= least
+    root = np.arange(len(points))
+    for i in np.flatnonzero(core):
+        if root[i] == i:
+            todo = [i]
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & core):
+                    if root[j] > i:
+                        root[j] = i
+                        todo.append(j)
+    owner = [min(((d2[i, j], j) for j in np.flatnonzero(near[i] & core)), default=(0, None))[1] for i in range(len(points))]
+    number = {r: n for n, r in enumerate(sorted({root[j] for j in owner if j is not None}))}
+    return [None if j is None else number[root[j]] for j in owner]
+
+
+@pytest.mark.parametrize("width,eps,least", [(1, 0.01, 4), (2, 0.1, 5), (2, 0.25, 9), (4, 0.5, 4)])
+def test_dbscan_is_brute_force(spark, width, eps, least):
+    """Dense and thin places, border rows, noise and copies; the grid of a lattice puts pairs at just eps."""
+    rng = np.random.default_rng(width * 10 + least)
+    points = np.concatenate([rng.normal(size=(300, width)), rng.normal(1, 0.05, size=(200, width)), np.round(rng.normal(size=(100, width)) * 4) / 4])
+    points[::50] = points[7]
+    names = [f"f{i}" for i in range(width)]
+    data = spark.createDataFrame([(i, *p.tolist()) for i, p in enumerate(points)], ", ".join(["id long", *[f"{n} double" for n in names]]))
+    got = {r["id"]: r["cluster"] for r in dbscan(data, "id", names, eps, least).collect()}
+    assert [got[i] for i in range(600)] == _plain_dbscan(points, eps, least)
+
+
+def test_dbscan_of_one_dense_place(spark):
+    """Forty thousand rows near each other have 1.6 billion pairs, none of which is written out."""
+    rows = spark.range(40_000).selectExpr("id", "id * 1e-6 AS a", "(id % 7) * 1e-3 AS b")
+    assert [tuple(r) for r in dbscan(rows, "id", ["a", "b"]).groupBy("cluster").count().collect()] == [(0, 40_000)]
+
+
 def test_arrays_are_features(spark):
     rng = np.random.default_rng(6)
     points = np.concatenate([rng.normal(c, 0.1, size=(30, 10)) for c in (0, 5)])
