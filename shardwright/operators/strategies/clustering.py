@@ -6,13 +6,14 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardwright.operators.base import Strategy, names
 from shardwright.operators.features import NUMERIC, mean_impute, numeric_columns, zscore
 from shardwright.operators.graph import checkpointed, components
-from shardwright.operators.knn import squared_distances
+from shardwright.operators.knn import smallest, squared_distances
 from shardwright.workers import ship_code
 
 #: With more features than this, their first principal components are clustered.
@@ -287,23 +288,114 @@ def tsne(x: np.ndarray, components_: int = 2, perplexity: float = 30.0, seed: in
     return y
 
 
+def affinities(d2: np.ndarray, perplexity: float) -> np.ndarray:
+    """Shares of a row's nearest rows (a row each) whose entropy is that of ``perplexity`` equal ones."""
+    d2 = d2 - d2[:, :1]
+    low, high, beta = np.zeros(len(d2)), np.full(len(d2), np.inf), np.ones(len(d2))
+    for _ in range(50):
+        p = np.exp(-d2 * beta[:, None])
+        s = p.sum(1)
+        wide = np.log(s) + beta * (d2 * p).sum(1) / s > np.log(perplexity)
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+        beta = np.where(np.isinf(high), beta * 2, (low + high) / 2)
+    return p / s[:, None]
+
+
+def _attraction(y: np.ndarray, near: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Sums of p q (y_i - y_j), where p is the mean of the shares of both ways over all rows."""
+    n, out = len(y), np.zeros_like(y)
+    for s in range(0, n, 10_000):
+        at = near[s : s + 10_000]
+        apart = [y[s : s + 10_000, c][:, None] - y[:, c][at] for c in range(y.shape[1])]
+        w = share[s : s + 10_000] / (2 * n) / (1 + sum(d * d for d in apart))
+        for c, d in enumerate(apart):
+            pull = w * d
+            out[s : s + 10_000, c] += pull.sum(1)
+            out[:, c] -= np.bincount(at.ravel(), pull.ravel(), n)
+    return out
+
+
+def _repulsion(y: np.ndarray, step: float = 1 / 3) -> np.ndarray:
+    """Sums of q^2 (y_i - y_j) over the sum of all q.
+
+    In two dimensions by cubic interpolation on a grid, whose nodes are summed up by Fourier
+    transforms (Linderman et al. 2019); otherwise pair by pair.
+    """
+    n = len(y)
+    if y.shape[1] != 2:
+        out, total = np.zeros_like(y), 0.0
+        rows = max(1, 4_000_000 // n)
+        for s in range(0, n, rows):
+            q = 1 / (1 + squared_distances(y[s : s + rows], y))
+            total += q.sum()
+            q *= q
+            out[s : s + rows] = q.sum(1)[:, None] * y[s : s + rows] - q @ y
+        return out / max(total - n, 1e-12)
+    low = y.min(0)
+    step = min(step, max(float((y.max(0) - low).max()), 1e-9) / 50)
+    size = int(((y.max(0) - low) / step).max()) + 4
+    wide = 1 << (2 * size - 1).bit_length()
+    wide = 3 * wide // 4 if 3 * wide // 4 >= 2 * size else wide
+    place = (y - low) / step
+    first = np.floor(place).astype(int)
+    t = place - first + 1  # the four nodes around lie at 0, 1, 2, 3
+    weights = np.stack([(t - 1) * (t - 2) * (t - 3) / -6, t * (t - 2) * (t - 3) / 2, t * (t - 1) * (t - 3) / -2, t * (t - 1) * (t - 2) / 6], -1)
+    nodes = ((first[:, 0, None, None] + np.arange(4)[:, None]) * wide + first[:, 1, None, None] + np.arange(4)).reshape(n, 16)
+    weights = (weights[:, 0, :, None] * weights[:, 1, None, :]).reshape(n, 16)
+    lag = np.minimum(np.arange(wide), wide - np.arange(wide)) * step
+    kernel = 1 / (1 + lag[:, None] ** 2 + lag[None, :] ** 2)
+    once, twice = np.fft.rfft2(kernel), np.fft.rfft2(kernel * kernel)
+
+    def spread(charge: np.ndarray) -> np.ndarray:
+        return np.fft.rfft2(np.bincount(nodes.ravel(), (weights * charge[:, None]).ravel(), wide * wide).reshape(wide, wide))
+
+    def gathered(spectrum: np.ndarray) -> np.ndarray:
+        return (np.fft.irfft2(spectrum, (wide, wide)).ravel()[nodes] * weights).sum(1)
+
+    z = y - y.mean(0)
+    ones = spread(np.ones(n))
+    at = np.stack(np.divmod(np.arange(16), 4), -1) * step
+    itself = 1 / (1 + squared_distances(at, at))  # what a row counts for itself on the grid
+    total = max(gathered(ones * once).sum() - ((weights @ itself) * weights).sum(), 1e-12)
+    all_ = gathered(ones * twice)
+    return np.stack([all_ * z[:, c] - gathered(spread(z[:, c]) * twice) for c in range(2)], 1) / total
+
+
+def tsne_of_neighbours(near: np.ndarray, share: np.ndarray, components_: int = 2, seed: int = 42, rounds: int = 300) -> np.ndarray:
+    """``tsne`` whose attraction is that of the nearest rows (places ``near``) with their ``share``; all rows repel."""
+    n = len(near)
+    rng = np.random.default_rng(seed)
+    y, step, gains = rng.normal(0, 1e-4, (n, components_)), np.zeros((n, components_)), np.ones((n, components_))
+    for t in range(rounds):
+        gradient = 4 * ((12.0 if t < 100 else 1.0) * _attraction(y, near, share) - _repulsion(y))
+        gains = np.maximum(0.01, np.where(np.sign(gradient) == np.sign(step), gains * 0.8, gains + 0.2))
+        step = (0.5 if t < 100 else 0.8) * step - max(n / 48, 50) * gains * gradient
+        y = y + step - (y + step).mean(0)
+    return y
+
+
 class TSNEClustering(FeatureClustering):
     """k-means on a t-SNE map of the scaled features: ``tsne_cluster_<cluster>``.
 
-    The map needs all pairs of rows in one place, so tables above ``max_rows`` are refused.
+    Up to ``EXACT_ROWS`` rows all pairs count. Above that the nearest three times ``perplexity``
+    rows attract (found exactly, by many tasks that each hold the features) and all rows repel; one
+    task holds the map and the nearest rows. A table above ``max_rows``, if given, is refused.
     """
 
+    EXACT_ROWS = 5000
+
     prefix = "tsne_cluster"
 
-    def __init__(self, key_cols: list[str], n_partitions: int = 5, random_state: int = 42, n_components: int = 2, perplexity: float = 30.0, feature_cols: list[str] | None = None, max_rows: int = 5000, **cluster_kwargs) -> None:
+    def __init__(self, key_cols: list[str], n_partitions: int = 5, random_state: int = 42, n_components: int = 2, perplexity: float = 30.0, feature_cols: list[str] | None = None, max_rows: int | None = None, **cluster_kwargs) -> None:
         super().__init__(key_cols, n_partitions, random_state, "kmeans", feature_cols, **cluster_kwargs)
         self.n_components, self.perplexity, self.max_rows = n_components, perplexity, max_rows
 
     def clusters(self, data: DataFrame) -> DataFrame:
         ship_code(data.sparkSession)
         rows, columns = self.scaled(data)
-        if rows.limit(self.max_rows + 1).count() > self.max_rows:
-            raise ValueError(f"t-SNE takes at most {self.max_rows} rows; use feature_clustering for larger tables")
+        n = rows.count()
+        if self.max_rows is not None and n > self.max_rows:
+            raise ValueError(f"t-SNE is to take at most {self.max_rows} rows; use feature_clustering for larger tables")
         parts = [f"t_{i}" for i in range(self.n_components)]
         kinds = dict(rows.dtypes)
         schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in self.key_cols], *[f"{p} double" for p in parts]])
@@ -314,5 +406,42 @@ class TSNEClustering(FeatureClustering):
             y = tsne(part[columns].to_numpy(float), len(parts), perplexity, seed)
             return pd.concat([part[keys].reset_index(drop=True), pd.DataFrame(y, columns=parts)], axis=1)
 
-        mapped = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(embed, schema)
+        if n > self.EXACT_ROWS:
+            mapped = self._large(rows, columns, schema)
+        else:
+            mapped = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(embed, schema)
         return kmeans(mapped, self.key_cols, parts, self.n_partitions, self.random_state, **self.cluster_kwargs)
+
+    def _large(self, rows: DataFrame, columns: list[str], schema: str) -> DataFrame:
+        spark, keys, parts, perplexity, seed = rows.sparkSession, self.key_cols, self.n_components, self.perplexity, self.random_state
+        kinds = dict(rows.dtypes)
+        table = rows.select(*keys, F.array(*columns).alias("_x")).toArrow().sort_by([(k, "ascending") for k in keys])
+        n = table.num_rows
+        points = table.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, len(columns))
+        shared = spark.sparkContext.broadcast((table.select(keys), points))
+        tasks = max(12, n // 4000)
+        k = min(n - 1, int(3 * perplexity))
+
+        def search(batches):
+            names, x = shared.value
+            for batch in batches:
+                for i in batch["id"]:
+                    at = np.arange(n * i // tasks, n * (i + 1) // tasks)
+                    _, near, d2 = smallest(x[at], x, at, k)
+                    share = affinities(d2.reshape(len(at), k), min(perplexity, max(1.0, k / 3)))
+                    found = names.slice(at[0], len(at)).to_pandas() if len(at) else names.slice(0, 0).to_pandas()
+                    yield found.assign(_row=at, _near=list(near.reshape(len(at), k).astype(np.int32)), _share=list(share))
+
+        found = spark.range(0, tasks, 1, tasks).mapInPandas(search, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "_row long, _near array<int>, _share array<double>"]))
+
+        def embed(piece: pa.Table) -> pa.Table:
+            piece = piece.sort_by("_row")
+            near, share = (piece.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, k) for c in ("_near", "_share"))
+            names = piece.select(keys)
+            del piece
+            y = tsne_of_neighbours(near, share, parts, seed)
+            for c in range(parts):
+                names = names.append_column(f"t_{c}", pa.array(y[:, c]))
+            return names
+
+        return checkpointed(checkpointed(found).withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(embed, schema))

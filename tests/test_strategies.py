@@ -15,7 +15,7 @@ from shardwright.operators.features import mean_impute, zscore
 from shardwright.operators.knn import at_places, nearest, squared_distances
 from shardwright.operators.resample import Balancer
 from shardwright.operators.strategies.balance import StratifiedBalanced
-from shardwright.operators.strategies.clustering import FeatureClustering, TSNEClustering, dbscan, tsne
+from shardwright.operators.strategies.clustering import FeatureClustering, TSNEClustering, _attraction, _repulsion, affinities, dbscan, tsne
 from shardwright.operators.strategies.difficulty import DifficultySplit, UncertaintySplit, is_classification
 from shardwright.operators.strategies.random import RandomSplit
 from shardwright.operators.strategies.regression import RegressionBinning, RegressionStratified
@@ -411,6 +411,37 @@ def test_tsne_and_its_limit(spark):
         FeatureClustering(["id"], method="pca")
 
 
+def test_tsne_forces_are_those_of_all_pairs():
+    rng = np.random.default_rng(10)
+    for wide in (0.01, 20.0):
+        for width in (2, 3):
+            y = rng.normal(size=(400, width)) * wide
+            q = 1 / (1 + squared_distances(y, y))
+            np.fill_diagonal(q, 0)
+            plain = ((q * q).sum(1)[:, None] * y - (q * q) @ y) / q.sum()
+            assert np.abs(_repulsion(y) - plain).max() < 0.01 * np.abs(plain).max()
+    x = rng.normal(size=(400, 5))
+    d2 = squared_distances(x, x)
+    np.fill_diagonal(d2, np.inf)
+    near = np.argsort(d2, axis=1)[:, :30]
+    share = affinities(np.take_along_axis(d2, near, 1), 10.0)
+    assert np.allclose(np.exp(-(share * np.log(share)).sum(1)), 10.0, rtol=1e-3)
+    p = np.zeros((400, 400))
+    np.put_along_axis(p, near, share, 1)
+    w = (p + p.T) / 800 / (1 + squared_distances(y, y))
+    assert np.allclose(_attraction(y, near, share), w.sum(1)[:, None] * y - w @ y)
+
+
+def test_tsne_of_a_large_table(spark):
+    """More rows than pairs are counted for; every row is dealt, and two far blobs do not share a cluster."""
+    rng = np.random.default_rng(11)
+    points = np.concatenate([rng.normal(c, 0.1, size=(2600, 3)) for c in (0, 5)])
+    data = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, e array<double>")
+    got = TSNEClustering(["id"], 2, feature_cols=["e"]).assign(data).toPandas()
+    assert sorted(got["id"]) == list(range(5200))
+    assert max((got["partition"][got["id"] < 2600] == c).mean() for c in set(got["partition"])) > 0.9
+
+
 def test_a_regressor_takes_few_distinct_numbers_for_numbers(spark):
     """Ten prices over 400 rows look like classes; the residuals of a line decide all the same."""
     from pyspark.ml.regression import LinearRegression
