@@ -33,6 +33,8 @@ class Balancer:
 
     #: Up to this place down the list all neighbours before it are listed too.
     FEW_PLACES = 20
+    #: Up to so many keys that go after a cleaning are sent to all tasks, so that no point moves.
+    FEW_LOST = 500_000
 
     def __init__(self, groups: list[str], key: str, label: str, features: str, seed: int = 42) -> None:
         self.groups, self.key, self.label, self.features, self.seed = groups, key, label, features, seed
@@ -77,17 +79,17 @@ class Balancer:
         most = picks.agg(F.max("place")).first()[0]
         if not most:
             return rows.limit(0).select(*self._columns(True), F.lit(None).cast("string").alias("_origin"))
-        if most <= self.FEW_PLACES:
-            near = nearest(rows, by, self.key, self.features, most, queries=rows.join(picks.select(*self.groups, self.key).distinct(), [*self.groups, self.key], "left_semi"))
-        else:
-            near = at_places(rows, by, self.key, self.features, picks.select(*by, self.key, "place").distinct())
+        key_type = dict(rows.dtypes)[self.key]
+        columns = [*self.groups, F.lit(None).cast(key_type).alias(self.key), self.label, F.col("point").alias(self.features), F.lit(True).alias("synthetic"), F.concat_ws(":", self.key, "_copy").alias("_origin")]
+        if most > self.FEW_PLACES:
+            return at_places(rows, by, self.key, self.features, picks.select(*by, self.key, "place", "_copy", "_u"), "_u").select(*columns)
+        near = nearest(rows, by, self.key, self.features, most, queries=rows.join(picks.select(*self.groups, self.key).distinct(), [*self.groups, self.key], "left_semi"))
         x = rows.select(*self.groups, self.key, F.col(self.features).alias("_x"))
         y = rows.select(*self.groups, F.col(self.key).alias("neighbour"), F.col(self.features).alias("_y"))
         near = near.select(*self.groups, self.key, "place", "neighbour")
         made = picks.join(near, [*self.groups, self.key, "place"]).join(x, [*self.groups, self.key]).join(y, [*self.groups, "neighbour"])
         point = F.transform("_x", lambda v, i: v + F.col("_u") * (F.get("_y", i) - v))
-        key_type = dict(rows.dtypes)[self.key]
-        return made.select(*self.groups, F.lit(None).cast(key_type).alias(self.key), self.label, point.alias(self.features), F.lit(True).alias("synthetic"), F.concat_ws(":", self.key, "_copy").alias("_origin"))
+        return made.withColumn("point", point).select(*columns)
 
     def smote(self, rows: DataFrame, k: int | None = None) -> DataFrame:
         """Every class filled up to the largest of its group (Chawla et al. 2002).
@@ -95,17 +97,17 @@ class Balancer:
         Base rows are taken in seeded order, over and over. ``k`` neighbours are open to choice,
         by default one less than the smallest class has rows.
         """
-        return self._smote(rows, k).drop("_origin")
+        return rows.select(*self._columns()).unionByName(self._smote(rows, k).drop("_origin"))
 
     def _smote(self, rows: DataFrame, k: int | None) -> DataFrame:
+        """The synthetic rows only, with ``_origin``."""
         keyed = rows.withColumn("_key", order_key(self.seed, [self.key]))
         ranked = self._with_counts(ranks(keyed, [*self.groups, self.label], "_key", [self.key]))
         need = F.col("most") - F.col("n")
         copies = F.floor(need / F.col("n")) + F.when(F.col("rank") < need % F.col("n"), 1).otherwise(0)
         wanted = ranked.withColumn("_copies", copies).where("_copies > 0")
         wanted = wanted.select(*self.groups, self.label, self.key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy"))
-        base = rows.select(*self._columns(), F.lit(None).cast("string").alias("_origin"))
-        return base.unionByName(self._synthesize(rows, wanted, k))
+        return self._synthesize(rows, wanted, k)
 
     def adasyn(self, rows: DataFrame, k: int = 5) -> DataFrame:
         """Synthetic rows where a class lies among others (He et al. 2008).
@@ -124,43 +126,58 @@ class Balancer:
         wanted = wanted.select(*self.groups, self.label, self.key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy"))
         return rows.select(*self._columns()).unionByName(self._synthesize(rows, wanted, k).drop("_origin"))
 
-    def _cleanable(self, rows: DataFrame, everything: bool) -> DataFrame:
-        marked = self._with_counts(rows)
-        return marked if everything else marked.where(~F.col("is_minority"))
+    def _cleanable(self, rows: DataFrame, odd: DataFrame) -> DataFrame:
+        """The groups and keys of ``odd`` that are not of the smallest class."""
+        marked = self._with_counts(rows).where(~F.col("is_minority"))
+        return marked.join(odd, [*self.groups, self.key], "left_semi").select(*self.groups, self.key)
+
+    def _without(self, rows: DataFrame, lost: DataFrame) -> DataFrame:
+        return rows.join(lost, [*self.groups, self.key], "left_anti")
 
     def edited_neighbours(self, rows: DataFrame, k: int = 3, everything: bool = False) -> DataFrame:
         """Drops rows of all classes but the smallest (or of all) that do not agree with all ``k`` neighbours (Wilson 1972)."""
+        odd = self._disagreeing(rows, k)
+        return self._without(rows, odd if everything else self._cleanable(rows, odd)).select(*self._columns())
+
+    def _disagreeing(self, rows: DataFrame, k: int = 3) -> DataFrame:
         near = nearest(rows, self.groups, self.key, self.features, k)
         theirs = rows.select(*self.groups, F.col(self.key).alias("neighbour"), F.col(self.label).alias("_other"))
         mine = rows.select(*self.groups, self.key, F.col(self.label).alias("_mine"))
         odd = near.join(theirs, [*self.groups, "neighbour"]).join(mine, [*self.groups, self.key]).where(_differ("_other", "_mine"))
-        lost = self._cleanable(rows, everything).join(odd.select(*self.groups, self.key).distinct(), [*self.groups, self.key], "left_semi")
-        return rows.join(lost.select(*self.groups, self.key), [*self.groups, self.key], "left_anti").select(*self._columns())
+        return odd.select(*self.groups, self.key).distinct()
 
     def tomek_links(self, rows: DataFrame, everything: bool = False) -> DataFrame:
         """Drops rows of all classes but the smallest (or of all) that form a mutual nearest pair with another class (Tomek 1976)."""
+        odd = self._linked(rows)
+        return self._without(rows, odd if everything else self._cleanable(rows, odd)).select(*self._columns())
+
+    def _linked(self, rows: DataFrame) -> DataFrame:
         near = checkpointed(nearest(rows, self.groups, self.key, self.features, 1).select(*self.groups, self.key, "neighbour"))
         back = near.select(*self.groups, F.col(self.key).alias("neighbour"), F.col("neighbour").alias(self.key))
         mutual = near.join(back, [*self.groups, self.key, "neighbour"])
         mine = rows.select(*self.groups, self.key, F.col(self.label).alias("_mine"))
         theirs = rows.select(*self.groups, F.col(self.key).alias("neighbour"), F.col(self.label).alias("_other"))
         pairs = mutual.join(mine, [*self.groups, self.key]).join(theirs, [*self.groups, "neighbour"]).where(_differ("_mine", "_other"))
-        lost = self._cleanable(rows, everything).join(pairs.select(*self.groups, self.key), [*self.groups, self.key], "left_semi")
-        return rows.join(lost.select(*self.groups, self.key), [*self.groups, self.key], "left_anti").select(*self._columns())
+        return pairs.select(*self.groups, self.key)
+
+    def _then(self, rows: DataFrame, k: int | None, odd) -> DataFrame:
+        """Cleans filled rows, some of which have no key: base key and copy stand in for it, so equal points stay apart.
 
-    def _then(self, filled: DataFrame, clean) -> DataFrame:
-        """Cleans rows some of which have no key: base key and copy stand in for it, so equal points stay apart."""
-        stand_in = F.when(F.col("synthetic"), F.concat(F.lit("s:"), F.col("_origin"))).otherwise(F.concat(F.lit("k:"), F.col(self.key).cast("string")))
-        named = checkpointed(filled.withColumn("_row", stand_in))
+        Points are stored, and moved to where they are compared, but not joined.
+        """
+        made = checkpointed(self._smote(rows, k))
+        base = rows.select(*self._columns(), F.concat(F.lit("k:"), F.col(self.key).cast("string")).alias("_row"))
+        named = base.unionByName(made.withColumn("_row", F.concat(F.lit("s:"), F.col("_origin"))).drop("_origin"))
         inner = Balancer(self.groups, "_row", self.label, self.features, self.seed)
-        kept = clean(inner)(named.select(*self.groups, "_row", self.label, self.features), everything=True)
-        return named.join(kept.select(*self.groups, "_row"), [*self.groups, "_row"], "left_semi").drop("_row", "_origin")
+        lost = checkpointed(odd(inner, named.select(*self.groups, "_row", self.label, self.features)))
+        few = lost.count() <= self.FEW_LOST
+        return inner._without(named, F.broadcast(lost) if few else lost).select(*self._columns()[:-1], "synthetic")
 
     def smote_enn(self, rows: DataFrame, k: int | None = None) -> DataFrame:
-        return self._then(self._smote(rows, k), lambda b: b.edited_neighbours)
+        return self._then(rows, k, Balancer._disagreeing)
 
     def smote_tomek(self, rows: DataFrame, k: int | None = None) -> DataFrame:
-        return self._then(self._smote(rows, k), lambda b: b.tomek_links)
+        return self._then(rows, k, Balancer._linked)
 
 
 #: Method names and what they run; None balances nothing.

@@ -329,6 +329,30 @@ def test_cleaning_after_smote_of_a_large_class(spark, method):
     assert lost.any() and sorted(map(tuple, got["x"])) == sorted(map(tuple, x[~lost]))
 
 
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far have written for others to read."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("method", ["smote_tomek"])
+def test_cleaning_after_smote_moves_points_once(spark, method):
+    """The filled rows are moved to where they are compared (and the smaller class to where it is filled up), not again to be joined."""
+    points = np.random.default_rng(9).normal(size=(1500, 64))
+    data = spark.createDataFrame([(i, int(i % 3 == 0), p.tolist()) for i, p in enumerate(points)], "id long, y int, x array<double>").localCheckpoint()
+    before = _shuffled(spark)
+    assert getattr(Balancer([], "id", "y", "x"), method)(data).collect()
+    assert _shuffled(spark) - before < 1.25 * (2000 + 500) * 64 * 8
+
+
+def test_smote_asks_nothing_of_the_largest_class(spark, monkeypatch):
+    monkeypatch.setattr("shardwright.operators.knn.MOST_ROWS", 100)
+    data = spark.createDataFrame([(i, int(i % 4 == 0), [float(i), i / 7]) for i in range(240)], "id long, y int, x array<double>")
+    assert Balancer([], "id", "y", "x").smote(data).where("synthetic").count() == 120
+
+
 def test_features(spark):
     data = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (4, 3.0)], "id long, v double")
     assert [r["v"] for r in mean_impute(data, ["v"]).orderBy("id").collect()] == [1.0, 2.0, 2.0, 3.0]
